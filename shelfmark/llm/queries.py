@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from shelfmark.llm.q_packing import op4_hierarchical_packing
 from shelfmark.llm.q_sharding import op9_external_shuffle
 
 QUERIES = {
+    "op4_hierarchical_packing": op4_hierarchical_packing,
     "op9_external_shuffle": op9_external_shuffle,
 }
 
