@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from shelfmark.llm.q_mixing import op7_block_mixing
 from shelfmark.llm.q_packing import op4_hierarchical_packing
 from shelfmark.llm.q_sharding import op9_external_shuffle
 
 QUERIES = {
     "op4_hierarchical_packing": op4_hierarchical_packing,
+    "op7_block_mixing": op7_block_mixing,
     "op9_external_shuffle": op9_external_shuffle,
 }
 
