@@ -20,7 +20,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def words_of(text: Column | str) -> Column:
     """The words of a text in order; none for a null text."""
     text = F.col(text) if isinstance(text, str) else text
-    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
+    parts = F.split(F.coalesce(text, F.lit("")), SPACE)
+    # white space at an end leaves an empty part there, and only there
+    return bind(parts, lambda p: F.when((F.get(p, F.lit(0)) == "") | (F.element_at(p, -1) == ""), F.array_remove(p, "")).otherwise(p))
 
 
 def bind(value: Column, body) -> Column:

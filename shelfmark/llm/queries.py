@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from shelfmark.llm.q_langid import op5_word_backoff_langid
 from shelfmark.llm.q_mixing import op7_block_mixing
 from shelfmark.llm.q_packing import op4_hierarchical_packing
+from shelfmark.llm.q_rules import OP3_SQL, op3_quality_rules
 from shelfmark.llm.q_sharding import op9_external_shuffle
 
 QUERIES = {
+    "op3_quality_rules": op3_quality_rules,
     "op4_hierarchical_packing": op4_hierarchical_packing,
+    "op5_word_backoff_langid": op5_word_backoff_langid,
     "op7_block_mixing": op7_block_mixing,
     "op9_external_shuffle": op9_external_shuffle,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_quality_rules": OP3_SQL,
+}
