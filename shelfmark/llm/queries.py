@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from shelfmark.llm.q_langid import op5_word_backoff_langid
+from shelfmark.llm.q_lshforest import op10_lsh_forest_join
 from shelfmark.llm.q_mixing import op7_block_mixing
 from shelfmark.llm.q_packing import op4_hierarchical_packing
 from shelfmark.llm.q_rules import OP3_SQL, op3_quality_rules
@@ -14,6 +15,7 @@ QUERIES = {
     "op5_word_backoff_langid": op5_word_backoff_langid,
     "op7_block_mixing": op7_block_mixing,
     "op9_external_shuffle": op9_external_shuffle,
+    "op10_lsh_forest_join": op10_lsh_forest_join,
 }
 
 ORACLES: dict[str, str] = {
