@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from shelfmark.llm.q_fingerprints import op8_oph_fingerprints
 from shelfmark.llm.q_langid import op5_word_backoff_langid
 from shelfmark.llm.q_lshforest import op10_lsh_forest_join
 from shelfmark.llm.q_mixing import op7_block_mixing
@@ -14,6 +15,7 @@ QUERIES = {
     "op4_hierarchical_packing": op4_hierarchical_packing,
     "op5_word_backoff_langid": op5_word_backoff_langid,
     "op7_block_mixing": op7_block_mixing,
+    "op8_oph_fingerprints": op8_oph_fingerprints,
     "op9_external_shuffle": op9_external_shuffle,
     "op10_lsh_forest_join": op10_lsh_forest_join,
 }
