@@ -9,11 +9,13 @@ from shelfmark.llm.q_mixing import op7_block_mixing
 from shelfmark.llm.q_packing import op4_hierarchical_packing
 from shelfmark.llm.q_rules import OP3_SQL, op3_quality_rules
 from shelfmark.llm.q_sharding import op9_external_shuffle
+from shelfmark.llm.q_tokencounts import op6_edit_aware_counts
 
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_hierarchical_packing": op4_hierarchical_packing,
     "op5_word_backoff_langid": op5_word_backoff_langid,
+    "op6_edit_aware_counts": op6_edit_aware_counts,
     "op7_block_mixing": op7_block_mixing,
     "op8_oph_fingerprints": op8_oph_fingerprints,
     "op9_external_shuffle": op9_external_shuffle,
