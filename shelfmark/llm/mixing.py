@@ -202,20 +202,22 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     placed = placed.withColumn("at", F.coalesce(F.sum("n").over(in_shard), F.lit(0))).withColumn("of", F.sum("n").over(Window.partitionBy("shard")))
     each = placed.select("shard", "src", "of", "j", "at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
     each = each.select("shard", "src", "of", (F.col("j") + F.col("i")).alias("j"), (F.col("at") + F.col("i")).alias("at"))
+    # written, so that the planner knows its size: an estimate from the few shards above would have it broadcast
     slots = each.mapInPandas(_mapped(quotas, block_words, seed), "shard long, slot long, src long, turn long, block long, most long")
+    slots = written(slots, "mix-slots")
 
     b = F.lit(block_words)
     cut = documents.where("size > 0").select("src", "off", "size", F.explode(F.expr(f"sequence(off div {block_words}, (off + size - 1) div {block_words})")).alias("block"))
     begin, end = F.greatest(F.col("off"), F.col("block") * b), F.least(F.col("off") + F.col("size"), (F.col("block") + 1) * b)
     cut = cut.select("src", "block", "off", (begin - F.col("off")).alias("start"), (end - begin).alias("len"), (begin - F.col("block") * b).alias("skip"))
-    pieces = slots.join(cut, ["src", "block"]).select("shard", "slot", "turn", "src", "off", "start", "skip", F.least(F.col("len"), F.col("most") - F.col("skip")).alias("words")).where("words > 0")
+    pieces = slots.hint("merge").join(cut, ["src", "block"]).select("shard", "slot", "turn", "src", "off", "start", "skip", F.least(F.col("len"), F.col("most") - F.col("skip")).alias("words")).where("words > 0")
     return Mix(documents, quotas, slots, pieces)
 
 
 def taken(plan: Mix) -> DataFrame:
     """(key, h, src, size, off, taken): each row of the table with the words the mix takes of it, repeats counted."""
     words = plan.pieces.groupBy("src", "off").agg(F.sum("words").alias("taken"))
-    full = plan.documents.where("size > 0").join(words, ["src", "off"], "left")
+    full = plan.documents.where("size > 0").join(words.hint("merge"), ["src", "off"], "left")
     none = plan.documents.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
     cols = ["key", "h", "src", "size", "off"]
     return full.select(*cols, F.coalesce("taken", F.lit(0)).alias("taken")).unionByName(none.select(*cols, "taken"))
