@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from shelfmark.llm.q_fingerprints import op8_oph_fingerprints
 from shelfmark.llm.q_langid import op5_word_backoff_langid
+from shelfmark.llm.q_licenses import OP1_SQL, op1_license_digests
 from shelfmark.llm.q_lshforest import op10_lsh_forest_join
 from shelfmark.llm.q_mixing import op7_block_mixing
 from shelfmark.llm.q_packing import op4_hierarchical_packing
@@ -12,6 +13,7 @@ from shelfmark.llm.q_sharding import op9_external_shuffle
 from shelfmark.llm.q_tokencounts import op6_edit_aware_counts
 
 QUERIES = {
+    "op1_license_digests": op1_license_digests,
     "op3_quality_rules": op3_quality_rules,
     "op4_hierarchical_packing": op4_hierarchical_packing,
     "op5_word_backoff_langid": op5_word_backoff_langid,
@@ -23,5 +25,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_license_digests": OP1_SQL,
     "op3_quality_rules": OP3_SQL,
 }
