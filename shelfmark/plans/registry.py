@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from shelfmark.plans import q_curation, q_profile, q_ranking
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**q_curation.Q, **q_ranking.Q, **q_profile.Q}
+ORACLES: dict[str, str] = {**q_curation.SQL, **q_ranking.SQL, **q_profile.SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Until the rankers are in: interactions per customer."""
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_custkey").count()
+    """Genre popularity: the ten best unread items of each reader."""
+    return QUERIES["bas_genre_popularity"](spark, sf_dir)
