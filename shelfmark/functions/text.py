@@ -39,7 +39,6 @@ def weekday_timestamp(c: Column | str) -> Column:
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 
 
-@F.pandas_udf("string")
 def _unescaped(s: pd.Series) -> pd.Series:
     return s.map(lambda x: html.unescape(x) if x is not None else None)
 
@@ -52,7 +51,7 @@ def review_text(c: Column | str, every_entity: bool = False) -> Column:
     """
     out = col(c)
     if every_entity:
-        out = _unescaped(out)
+        out = F.pandas_udf(_unescaped, "string")(out)  # made here: a declared type needs a session
     else:
         for a, b in ENTITIES:
             out = F.replace(out, F.lit(a), F.lit(b))
