@@ -101,10 +101,43 @@ def bootstrap(per_user: DataFrame, metric: str, resamples: int = 1000, level: fl
     return u.groupBy("system", "k").agg(F.avg("x").alias("mean")).join(cuts, ["system", "k"]).select("system", "k", "mean", F.col("c")[0].alias("low"), F.col("c")[1].alias("high"))
 
 
-def winners(summary: DataFrame, baseline: str, reference: str) -> DataFrame:
-    """Systems above the baseline in recall and NDCG, and no worse than the reference system, at every k; best recall at k = 10 first."""
-    b = summary.where(F.col("system") == baseline).select("k", F.col("recall").alias("_br"), F.col("ndcg").alias("_bn"))
-    c = summary.where(F.col("system") == reference).select("k", F.col("recall").alias("_cr"), F.col("ndcg").alias("_cn"))
-    ok: Column = (F.col("recall") > F.col("_br")) & (F.col("ndcg") > F.col("_bn")) & (F.col("recall") >= F.col("_cr")) & (F.col("ndcg") >= F.col("_cn"))
-    met = summary.where(~F.col("system").isin(baseline, reference)).join(b, "k").join(c, "k").groupBy("system").agg(F.min(ok.cast("int")).alias("_all"), F.max(F.when(F.col("k") == 10, F.col("recall"))).alias("recall_at_10"))
-    return met.where("_all = 1").select("system", "recall_at_10").orderBy(F.desc("recall_at_10"), "system")
+def full_summary(recs: DataFrame, relevant: DataFrame, books: DataFrame) -> DataFrame:
+    """(system, k, users, precision, recall, ndcg, average_precision, novelty, coverage, tail_coverage, ...) of each list family."""
+    means = by_system(ranking(recs, relevant), ["precision", "recall", "ndcg", "average_precision"])
+    return means.join(novelty(recs, books), ["system", "k"]).join(coverage(recs, books), ["system", "k"])
+
+
+_FLOORS = ("coverage", "novelty", "tail_coverage")
+
+
+def _beside(summary: DataFrame, system: str, tag: str) -> DataFrame:
+    return summary.where(F.col("system") == system).select("k", *[F.col(c).alias(f"{tag}_{c}") for c in ("recall", "ndcg", *_FLOORS)])
+
+
+def _beats(tag: str) -> Column:
+    ok = (F.col("recall") > F.col(f"{tag}_recall")) & (F.col("ndcg") > F.col(f"{tag}_ndcg"))
+    for c in _FLOORS:
+        ok = ok & (F.col(c) >= F.col(f"{tag}_{c}"))
+    return ok
+
+
+def grid_winner(summary: DataFrame, baseline: str, content: str, k: int = 10) -> DataFrame:
+    """(winner): of the systems that beat the baseline at every k, the best at `k` by NDCG, recall, coverage and novelty; else the content system.
+
+    To beat is more recall and NDCG, and no less coverage, novelty and tail coverage.
+    """
+    ks = summary.where(F.col("system") == baseline).agg(F.countDistinct("k").alias("_ks"))
+    met = summary.where(~F.col("system").isin(baseline, content)).join(_beside(summary, baseline, "b"), "k")
+    good = met.groupBy("system").agg(F.count_if(_beats("b")).alias("_won")).join(ks).where("_won = _ks").select("system")
+    order = [F.desc("ndcg"), F.desc("recall"), F.desc("coverage"), F.desc("novelty"), F.col("system")]
+    best = summary.where(F.col("k") == k).join(good, "system", "left_semi").orderBy(*order).limit(1)
+    return best.agg(F.coalesce(F.max("system"), F.lit(content)).alias("winner"))
+
+
+def ab_winner(summary: DataFrame, baseline: str, content: str, k: int = 10) -> DataFrame:
+    """(winner): at one k, the best variant that beats the baseline and is no worse than the content system; else the content system."""
+    at = summary.where(F.col("k") == k)
+    met = at.where(~F.col("system").isin(baseline, content)).join(_beside(at, baseline, "b"), "k").join(_beside(at, content, "c"), "k")
+    ok = _beats("b") & (F.col("recall") >= F.col("c_recall")) & (F.col("ndcg") >= F.col("c_ndcg"))
+    best = met.where(ok).orderBy(F.desc("ndcg"), F.desc("recall"), "system").limit(1)
+    return best.agg(F.coalesce(F.max("system"), F.lit(content)).alias("winner"))

@@ -33,9 +33,9 @@ class Weights:
     """Shares of the hybrid ranker's five signals; fixed values."""
 
     content: float = 0.35
-    cooccurrence: float = 0.30
-    popularity: float = 0.20
-    genre: float = 0.10
+    popularity: float = 0.30
+    genre: float = 0.20
+    cooccurrence: float = 0.10
     neighbours: float = 0.05
 
     @classmethod

@@ -347,11 +347,14 @@ def rnk_access(spark, sf):
     return fx.items(spark, sf).select("book_id", r6(rank.access_score(F.col("num_pages"), 50, over=["author"]), "access"))
 
 
-def pool(spark, sf):
+def pool(spark, sf, clusters=None):
+    """Each reader's candidates with all that ranking needs; of other clusters where given."""
     c, modes = cands(spark, sf)
+    if clusters is not None:
+        c = retrieve.candidates(clusters, fx.vectors(spark, sf), train(spark, sf).where("is_read"))
     rel = retrieve.relevance(c, modes, fx.vectors(spark, sf))
     seg = windows.popularity_segments(popularity(train(spark, sf)), "n").select("book_id", "segment")
-    i = catalog(spark, sf).join(seg, "book_id", "left").select("book_id", "vec", "macro", F.coalesce("segment", F.lit("unknown")).alias("segment"), F.array(*[F.col(f) == 1 for f in FLAGS]).alias("genres"))
+    i = catalog(spark, sf).join(seg, "book_id", "left").select("book_id", "vec", "cluster", "macro", F.coalesce("segment", F.lit("unknown")).alias("segment"), F.array(*[F.col(f) == 1 for f in FLAGS]).alias("genres"))
     return rel.join(i, "book_id")
 
 
@@ -412,17 +415,21 @@ def bas_random(spark, sf):
 @query("rnk_hybrid", f"""WITH {_COLLAB}, pop AS (SELECT book_id, ln(1 + coalesce(n, 0)) * coalesce(mean_rating, 0) AS p, {' + '.join(f'genre_{g} * {1 << i}' for i, g in enumerate(fx.GENRES))} AS mask, title FROM items LEFT JOIN (SELECT book_id, count(rating_clean) AS n, avg(rating_clean) AS mean_rating FROM train GROUP BY 1) USING (book_id)),
 um AS (SELECT user_id, bit_or(CASE WHEN is_read AND coalesce(rating_clean >= 4, false) THEN mask ELSE 0 END) AS umask FROM train JOIN pop USING (book_id) GROUP BY 1),
 sig AS (SELECT user_id, book_id, title, round(relevance, 7) AS content, round(score, 7) AS cooccurrence, round(p, 7) AS popularity, CASE WHEN (mask & umask) <> 0 THEN round(p, 7) ELSE 0 END AS genre, 0.0 AS neighbours FROM rel JOIN collab USING (user_id, book_id) JOIN pop USING (book_id) JOIN um USING (user_id)),
-sc AS (SELECT user_id, book_id, title, round({_pct('content')} * 0.35 + {_pct('cooccurrence')} * 0.30 + {_pct('popularity')} * 0.20 + {_pct('genre')} * 0.10 + {_pct('neighbours')} * 0.05, 9) AS score FROM sig),
+sc AS (SELECT user_id, book_id, title, round({_pct('content')} * 0.35 + {_pct('popularity')} * 0.30 + {_pct('genre')} * 0.20 + {_pct('cooccurrence')} * 0.10 + {_pct('neighbours')} * 0.05, 9) AS score FROM sig),
 rep AS (SELECT *, row_number() OVER (PARTITION BY user_id, lower(title) ORDER BY score DESC, book_id) > 1 AS rp FROM sc)
 SELECT user_id, book_id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY rp, score DESC, book_id) AS rank FROM rep) WHERE rank <= 10""")
 def rnk_hybrid(spark, sf):
+    titles = fx.items(spark, sf).select("book_id", title_key("title").alias("title_key"))
+    return rank.hybrid(signals(spark, sf), rank.Weights(), titles, 10).select("user_id", "book_id", "rank")
+
+
+def signals(spark, sf):
+    """The five signals of each candidate; no neighbours are asked here."""
     c, modes, score = collaborative(spark, sf)
     rel = retrieve.relevance(c, modes, fx.vectors(spark, sf)).select("user_id", "book_id", F.round("relevance", 7).alias("content"))
     pop = popular_items(spark, sf).select("book_id", F.col("mask").alias("_m"), F.round(temporal.popularity_score(F.col("n"), F.col("mean_rating")), 7).alias("popularity"))
     sig = rel.join(score.select("user_id", "book_id", F.round("score", 7).alias("cooccurrence")), ["user_id", "book_id"]).join(pop, "book_id").join(user_masks(spark, sf), "user_id")
-    sig = sig.withColumn("genre", F.when(F.col("_m").bitwiseAND(F.col("mask")) != 0, F.col("popularity")).otherwise(F.lit(0.0))).withColumn("neighbours", F.lit(0.0))
-    titles = fx.items(spark, sf).select("book_id", title_key("title").alias("title_key"))
-    return rank.hybrid(sig, rank.Weights(), titles, 10).select("user_id", "book_id", "rank")
+    return sig.withColumn("genre", F.when(F.col("_m").bitwiseAND(F.col("mask")) != 0, F.col("popularity")).otherwise(F.lit(0.0))).withColumn("neighbours", F.lit(0.0))
 
 
 # evaluation
@@ -503,13 +510,6 @@ def eva_bootstrap(spark, sf):
     return metrics.bootstrap(per_user(spark, sf), "recall", 200)
 
 
-@query("exp_winners", f"WITH {_RECS}, s AS (SELECT system, k, avg(recall) AS r, avg(ndcg) AS n FROM per GROUP BY 1, 2), w AS (SELECT system || '+' || d AS system, k, r * d AS r, n * d AS n FROM s, (VALUES (1), (2)) AS v(d) WHERE system = 'genre'), base AS (SELECT * FROM s WHERE system = 'popularity') SELECT w.system, round(max(w.r) FILTER (w.k = 10), 6) AS recall_at_10 FROM w JOIN base b USING (k) JOIN s c ON c.k = w.k AND c.system = 'genre' GROUP BY 1 HAVING bool_and(w.r > b.r AND w.n > b.n AND w.r >= c.r AND w.n >= c.n)")
-def exp_winners(spark, sf):
-    s = metrics.by_system(per_user(spark, sf), METRICS).select("system", "k", "recall", "ndcg")
-    more = s.where("system = 'genre'").withColumn("d", F.explode(F.array(F.lit(1), F.lit(2)))).select(F.concat_ws("+", "system", F.col("d").cast("string")).alias("system"), "k", (F.col("recall") * F.col("d")).alias("recall"), (F.col("ndcg") * F.col("d")).alias("ndcg"))
-    return metrics.winners(s.unionByName(more), "popularity", "genre").select("system", r6("recall_at_10"))
-
-
 # habits
 
 

@@ -267,11 +267,22 @@ def test_metrics(spark):
     assert a == b and a.low <= a["mean"] <= a.high
 
 
-def test_verdict_and_winners(spark):
+def test_verdict(spark):
     s = spark.createDataFrame([("m", 5, 0.2, 0.2), ("b", 5, 0.1, 0.1), ("m", 10, 0.1, 0.3), ("b", 10, 0.2, 0.1)], "system string, k int, recall double, ndcg double")
     assert {r.k: r.wins for r in metrics.verdict(s, "m", "b").collect()} == {5: True, 10: False}
 
 
+def test_winner_rules(spark):
+    cols = "system string, k int, recall double, ndcg double, coverage double, novelty double, tail_coverage double"
+    base = [("B1", k, 0.1, 0.1, 0.2, 3.0, 0.1) for k in (5, 10)] + [("content_only", k, 0.05, 0.05, 0.5, 9.0, 0.3) for k in (5, 10)]
+    good = [("x", k, 0.2, 0.2, 0.2, 3.0, 0.1) for k in (5, 10)] + [("y", 5, 0.1, 0.3, 0.2, 3.0, 0.1), ("y", 10, 0.2, 0.3, 0.2, 3.0, 0.1)]
+    s = spark.createDataFrame(base + good, cols)
+    assert metrics.grid_winner(s, "B1", "content_only").first().winner == "x"
+    assert metrics.ab_winner(s, "B1", "content_only").first().winner == "y"
+    none = spark.createDataFrame(base, cols)
+    assert metrics.grid_winner(none, "B1", "content_only").first().winner == metrics.ab_winner(none, "B1", "content_only").first().winner == "content_only"
+
+
 def test_profiles(spark):
     df = spark.createDataFrame([(float(x), float(y)) for x, y in [(1, 2), (2, 2), (2, 3), (4, 9)]], "a double, b double")
     assert profile.spearman(df, "a", "b").first().rho == pytest.approx(np.corrcoef([1, 2.5, 2.5, 4], [1.5, 1.5, 3, 4])[0, 1])
