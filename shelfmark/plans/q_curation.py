@@ -8,7 +8,6 @@ from shelfmark.functions import text as X
 from shelfmark.operators import curation as C
 from shelfmark.plans import fixtures as fx
 
-TIE = [F.col("category"), F.col("book_id"), F.col("user_id"), F.col("rating").desc(), F.col("date_added").desc()]
 Q: dict = {}
 SQL: dict[str, str] = {}
 
@@ -23,8 +22,13 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+def tie():
+    """The order of rows of one key and one priority."""
+    return [F.col("category"), F.col("book_id"), F.col("user_id"), F.col("rating").desc(), F.col("date_added").desc()]
+
+
 def best(spark, sf):
-    return C.keep_best(C.clean(fx.raw(spark, sf)), TIE)
+    return C.keep_best(C.clean(fx.raw(spark, sf)), tie())
 
 
 @query("cur_clean_interactions", f"WITH {fx.clean_sql()} SELECT user_id, book_id, rating_missing, rating_clean, has_review_text, engagement_mode, CAST(engagement_weight AS DOUBLE) AS engagement_weight, interaction_key FROM clean")
@@ -67,7 +71,7 @@ def agg_priority(spark, sf):
 @query("cur_canonical_interactions", f"""WITH {fx.best_sql()}{_FEATURES}, cats AS (SELECT interaction_key, count(DISTINCT category) AS source_category_count FROM clean GROUP BY 1)
 SELECT interaction_key, user_id, book_id, engagement_mode, source_category_count, round(user_rating_bias, 6) AS user_rating_bias FROM best JOIN cats USING (interaction_key) JOIN feat USING (user_id) WHERE valid""")
 def cur_canonical(spark, sf):
-    out, _ = C.canonical(fx.raw(spark, sf), fx.vectors(spark, sf), TIE)
+    out, _ = C.canonical(fx.raw(spark, sf), fx.vectors(spark, sf), tie())
     return out.select("interaction_key", "user_id", "book_id", "engagement_mode", "source_category_count", F.round("user_rating_bias", 6).alias("user_rating_bias"))
 
 
@@ -90,7 +94,7 @@ def cur_views(spark, sf):
 (SELECT count(*) FROM feat WHERE valid) AS users_kept, (SELECT count(*) FROM best WHERE engagement_mode = 'want_to_read') AS want_to_read""")
 def cur_summary(spark, sf):
     cleaned = C.clean(fx.raw(spark, sf))
-    b = C.keep_best(cleaned, TIE)
+    b = C.keep_best(cleaned, tie())
     f = C.user_features(b)
     kept = b.join(f.where("valid"), "user_id", "left_semi")
     one = lambda df, e, name: df.agg(e.alias(name))
@@ -121,7 +125,7 @@ def cur_books(spark, sf):
 
 @query("cur_last_interaction", f"WITH {fx.RAW} SELECT user_id, book_id, max(date_updated) AS date_updated FROM raw GROUP BY 1, 2")
 def cur_last(spark, sf):
-    return C.last_by(fx.raw(spark, sf), ["user_id", "book_id"], "date_updated", TIE).select("user_id", "book_id", "date_updated")
+    return C.last_by(fx.raw(spark, sf), ["user_id", "book_id"], "date_updated", tie()).select("user_id", "book_id", "date_updated")
 
 
 @query("cur_merge_master", "SELECT CAST(p_partkey % 200 AS VARCHAR) AS book_id, max(CAST(p_size % 5 = 0 AS INTEGER)) AS genre_fantasy, max(CAST(p_size % 5 = 1 AS INTEGER)) AS genre_history, arg_min(p_name, p_partkey) AS title, arg_min(p_brand, p_partkey) FILTER (p_size > 10) AS author FROM part GROUP BY 1")

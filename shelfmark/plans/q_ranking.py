@@ -9,14 +9,13 @@ from shelfmark.functions.vectors import cosine, norm, unit, without_axes
 from shelfmark.operators import cooc, habits, knn, metrics, rank, retrieve, temporal, users, windows
 from shelfmark.operators import curation as C
 from shelfmark.plans import fixtures as fx
-from shelfmark.plans.q_curation import TIE, best
+from shelfmark.plans.q_curation import best
 
 Q: dict = {}
 SQL: dict[str, str] = {}
 FLAGS = [f"genre_{g}" for g in fx.GENRES]
 CUT = "2000-01-01"
 FLOOR = "1993-01-01"
-AT = F.lit(CUT).cast("timestamp")
 BEST = fx.best_sql()
 POS = BEST + ", pos AS (SELECT DISTINCT user_id, book_id FROM best WHERE is_read AND rating_clean >= 4)"
 TRAIN = BEST + f", train AS (SELECT * FROM best WHERE date_added <= TIMESTAMP '{CUT}'), future AS (SELECT * FROM best WHERE date_added > TIMESTAMP '{CUT}')"
@@ -33,16 +32,20 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+def at_cut():
+    return F.lit(CUT).cast("timestamp")
+
+
 def r6(c, name=None):
     return F.round(c, 6).alias(name or c)
 
 
 def train(spark, sf):
-    return best(spark, sf).where(F.col("date_added") <= AT)
+    return best(spark, sf).where(F.col("date_added") <= at_cut())
 
 
 def relevant(spark, sf):
-    return users.positives(best(spark, sf).where(F.col("date_added") > AT))
+    return users.positives(best(spark, sf).where(F.col("date_added") > at_cut()))
 
 
 def catalog(spark, sf):
@@ -111,7 +114,7 @@ def tmp_user(spark, sf):
 
 @query("tmp_global_split", f"WITH {BEST} SELECT interaction_key, CASE WHEN date_added <= TIMESTAMP '{CUT}' THEN 'train' ELSE 'future' END AS part FROM best WHERE date_added >= TIMESTAMP '{FLOOR}'")
 def tmp_split(spark, sf):
-    return temporal.split_at(best(spark, sf), AT, floor=FLOOR).select("interaction_key", "part")
+    return temporal.split_at(best(spark, sf), at_cut(), floor=FLOOR).select("interaction_key", "part")
 
 
 @query("tmp_cutoff", f"WITH {BEST} SELECT CAST(floor(quantile_cont(epoch_us(date_added), 0.8)) AS BIGINT) // 1000000 AS cutoff_s FROM best WHERE date_added >= TIMESTAMP '{FLOOR}'")
@@ -124,19 +127,19 @@ _SNAP = f"snap AS (SELECT book_id, count(*) FILTER (ok AND rating_clean IS NOT N
 
 @query("tmp_popularity_as_of", f"WITH {BEST}, {_SNAP} SELECT book_id, n, round(mean_rating, 6) AS mean_rating, n_reviews, first_seen, n_invalid FROM snap")
 def tmp_popularity(spark, sf):
-    p = temporal.popularity_as_of(best(spark, sf), AT, FLOOR)
+    p = temporal.popularity_as_of(best(spark, sf), at_cut(), FLOOR)
     return p.select("book_id", "n", r6("mean_rating"), "n_reviews", "first_seen", "n_invalid")
 
 
 @query("tmp_available", f"WITH {BEST}, {fx.ITEMS_SQL}, {_SNAP} SELECT book_id, CASE WHEN book_id = '7' THEN coalesce(first_seen <= TIMESTAMP '{CUT}', false) ELSE publication_year <= 2000 END AS available FROM items LEFT JOIN snap USING (book_id)")
 def tmp_available(spark, sf):
     i = fx.items(spark, sf).withColumn("publication_year", F.when(F.col("book_id") != "7", F.col("publication_year")))
-    return temporal.available(i, temporal.popularity_as_of(best(spark, sf), AT, FLOOR), AT).select("book_id", "available")
+    return temporal.available(i, temporal.popularity_as_of(best(spark, sf), at_cut(), FLOOR), at_cut()).select("book_id", "available")
 
 
 @query("tmp_historical_master", f"WITH {BEST}, {fx.ITEMS_SQL}, {_SNAP} SELECT book_id, title, coalesce(n, 0) AS ratings_count, round(CASE WHEN n > 0 THEN mean_rating END, 6) AS average_rating, coalesce(n_reviews, 0) AS reviews FROM items LEFT JOIN snap USING (book_id)")
 def tmp_master(spark, sf):
-    p = temporal.popularity_as_of(best(spark, sf), AT, FLOOR)
+    p = temporal.popularity_as_of(best(spark, sf), at_cut(), FLOOR)
     return fx.items(spark, sf).join(p, "book_id", "left").select("book_id", "title", F.coalesce("n", F.lit(0)).alias("ratings_count"), F.round(F.when(F.col("n") > 0, F.col("mean_rating")), 6).alias("average_rating"), F.coalesce("n_reviews", F.lit(0)).alias("reviews"))
 
 
@@ -237,7 +240,7 @@ def coo_pairs(spark, sf):
 
 @query("coo_pairs_before", f"WITH {BEST}, pos AS (SELECT DISTINCT user_id, book_id FROM best WHERE is_read AND rating_clean >= 4 AND date_added <= TIMESTAMP '{CUT}'){_PAIRS} SELECT book_id_a, book_id_b, co_count, round(pmi, 6) AS pmi FROM pmi")
 def coo_before(spark, sf):
-    return cooc.pairs_before(users.positives(best(spark, sf)), AT).select("book_id_a", "book_id_b", "co_count", r6("pmi"))
+    return cooc.pairs_before(users.positives(best(spark, sf)), at_cut()).select("book_id_a", "book_id_b", "co_count", r6("pmi"))
 
 
 _COLLAB = _TASTE + """, pos AS (SELECT DISTINCT user_id, book_id FROM train WHERE is_read AND rating_clean >= 4)""" + _PAIRS + """, both_ways AS (SELECT book_id_a AS book_id, book_id_b AS other, pmi FROM pmi UNION ALL SELECT book_id_b, book_id_a, pmi FROM pmi),
@@ -297,7 +300,7 @@ def knn_neighbours(spark, sf):
 
 @query("knn_book_scores", f"WITH {_KNN}, reads AS (SELECT DISTINCT user_id, book_id FROM train WHERE is_read) SELECT n.user_id, r.book_id, round(sum(s), 5) AS score FROM nn n JOIN reads r ON r.user_id = n.neighbour WHERE s > 0 AND NOT EXISTS (SELECT 1 FROM reads o WHERE o.user_id = n.user_id AND o.book_id = r.book_id) GROUP BY 1, 2")
 def knn_scores(spark, sf):
-    return knn.neighbour_scores(near(spark, sf), best(spark, sf), AT).select("user_id", "book_id", F.round("score", 5).alias("score"))
+    return knn.neighbour_scores(near(spark, sf), best(spark, sf), at_cut()).select("user_id", "book_id", F.round("score", 5).alias("score"))
 
 
 # retrieval and ranking
