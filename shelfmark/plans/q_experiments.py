@@ -154,3 +154,70 @@ _SMALL = "(VALUES ('B1', 5, 0.1, 0.1, 0.2, 3.0, 0.1), ('B1', 10, 0.2, 0.2, 0.2,
 @query("exp_winner_rule", f"WITH s AS (SELECT * FROM {_SMALL}), b AS (SELECT * FROM s WHERE system = 'B1'), g AS (SELECT s.system FROM s JOIN b USING (k) WHERE s.system NOT IN ('B1', 'content_only') GROUP BY 1 HAVING bool_and(s.recall > b.recall AND s.ndcg > b.ndcg AND s.coverage >= b.coverage AND s.novelty >= b.novelty AND s.tail_coverage >= b.tail_coverage)) SELECT coalesce((SELECT system FROM s SEMI JOIN g USING (system) WHERE k = 10 ORDER BY ndcg DESC, recall DESC LIMIT 1), 'content_only') AS winner")
 def exp_rule(spark, sf):
     return metrics.grid_winner(spark.sql(f"SELECT * FROM {_SMALL}"), "B1", "content_only")
+
+
+# the recommender, end to end
+
+
+def _items(spark, sf):
+    from shelfmark.operators.recommend import with_segments
+    from shelfmark.plans.q_ranking import FLAGS, catalog
+
+    return with_segments(catalog(spark, sf).withColumn("genres", F.array(*[F.col(f) == 1 for f in FLAGS])), popularity(train(spark, sf)))
+
+
+def _profiles(spark, sf):
+    from shelfmark.operators.recommend import profiles
+    from shelfmark.plans.q_ranking import with_duration
+
+    v = fx.vectors(spark, sf)
+    return profiles(with_duration(train(spark, sf)), v, retrieve.centroids(v))
+
+
+@query("rec_profiles")
+def rec_profiles(spark, sf):
+    return _profiles(spark, sf).select("user_id", "mode", F.round("weight", 6).alias("weight"))
+
+
+def _routed(spark, sf):
+    from shelfmark.operators.recommend import routed
+
+    known = written(_profiles(spark, sf), "profiles")
+    guests = spark.createDataFrame([("seeded", "3"), ("seeded", "14"), ("cold", None)], "user_id string, book_id string")
+    readers = known.select("user_id").unionByName(guests.select("user_id"))
+    return routed(readers, known, guests.dropna(), _items(spark, sf), fx.vectors(spark, sf), read(spark, sf), rank.Config())
+
+
+@query("rec_routed")
+def rec_routed(spark, sf):
+    return _routed(spark, sf)
+
+
+@query("rec_explained")
+def rec_explained(spark, sf):
+    from shelfmark.operators.recommend import explained
+
+    return explained(_routed(spark, sf), _items(spark, sf), {g: F.col(f"genre_{g}") for g in fx.GENRES})
+
+
+@query("eva_by_activity", f"WITH {_RECS}, u AS (SELECT user_id, count(*) FILTER (is_read) AS n FROM train GROUP BY 1), c AS (SELECT quantile_cont(n, 1 / 3.0::DOUBLE) AS a, quantile_cont(n, 2 / 3.0::DOUBLE) AS b FROM u), t AS (SELECT user_id, CASE WHEN n <= a THEN 'low' WHEN n > b THEN 'high' ELSE 'mid' END AS activity FROM u, c) SELECT activity, system, k, count(DISTINCT user_id) AS users, round(avg(recall), 6) AS recall, round(avg(ndcg), 6) AS ndcg FROM per JOIN t USING (user_id) GROUP BY 1, 2, 3")
+def eva_activity(spark, sf):
+    u = train(spark, sf).groupBy("user_id").agg(F.count_if("is_read").alias("n"))
+    per = metrics.ranking(recs(spark, sf), relevant(spark, sf)).join(windows.tertiles(u, "n").select("user_id", "activity"), "user_id")
+    return per.groupBy("activity", "system", "k").agg(F.countDistinct("user_id").alias("users"), F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("ndcg"), 6).alias("ndcg"))
+
+
+@query("eva_cohort", f"WITH {fx.best_sql()}, c AS (SELECT user_id FROM best GROUP BY 1 HAVING count(*) FILTER (is_read OR rating_clean IS NOT NULL) >= 40) SELECT interaction_key, user_id FROM best SEMI JOIN c USING (user_id)")
+def eva_cohort(spark, sf):
+    """The whole histories of readers with forty events and more."""
+    from shelfmark.operators.curation import user_features
+
+    b = best(spark, sf)
+    return b.join(user_features(b, 40).where("valid").select("user_id"), "user_id", "left_semi").select("interaction_key", "user_id")
+
+
+@query("eda_series_profile", "SELECT CAST(n AS INTEGER) AS n_series, count(*) AS books, median(size) AS median_size FROM (SELECT p_partkey % 200 AS g, count(DISTINCT p_type) AS n, CAST(sum(p_size) AS DOUBLE) AS size FROM part WHERE p_partkey < 800 GROUP BY 1) GROUP BY 1")
+def eda_series(spark, sf):
+    p = fx.table(spark, sf, "part").where("p_partkey < 800")
+    g = p.groupBy(F.col("p_partkey") % 200).agg(F.size(F.collect_set("p_type")).alias("n_series"), F.sum("p_size").cast("double").alias("size"))
+    return g.groupBy("n_series").agg(F.count("*").alias("books"), F.percentile("size", F.lit(0.5)).alias("median_size"))
