@@ -148,6 +148,8 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for part in parts:
             yield pd.DataFrame([scorer(t) for t in part], columns=["lang_pred", "score"])
 
+    # so declared, a filter on the result does not run it a second time
+    scored = scored.asNondeterministic()
     out = df.select(*[F.col(f"`{c}`") for c in names], scored(F.col(f"`{text}`")).alias("_lang"))
     return out.select(*[F.col(f"`{c}`") for c in names], "_lang.lang_pred", "_lang.score")
 

@@ -94,7 +94,8 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
     }
     keep = [c for c in df.columns if c not in new and c not in ("_words", "_lines")]
     base = df.select(*[F.col(f"`{c}`") for c in keep], words_of(t).alias("_words"), lines.alias("_lines"))
-    return base.select(*[F.col(f"`{c}`") for c in keep], *[v.alias(k) for k, v in new.items()])
+    # generated rather than projected: a filter on a measure stays above, and does not repeat what makes it
+    return base.select(*[F.col(f"`{c}`") for c in keep], F.inline(F.array(F.struct(*[v.alias(k) for k, v in new.items()]))))
 
 
 def judged(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
