@@ -5,7 +5,7 @@ from __future__ import annotations
 from shelfmark.llm.q_fingerprints import op8_oph_fingerprints
 from shelfmark.llm.q_langid import op5_word_backoff_langid
 from shelfmark.llm.q_licenses import OP1_SQL, op1_license_digests
-from shelfmark.llm.q_lshforest import op10_lsh_forest_join
+from shelfmark.llm.q_lshforest import OP10_SQL, op10_lsh_forest_join
 from shelfmark.llm.q_merkle import OP2_SQL, op2_merkle_audit
 from shelfmark.llm.q_mixing import op7_block_mixing
 from shelfmark.llm.q_packing import op4_hierarchical_packing
@@ -30,4 +30,5 @@ ORACLES: dict[str, str] = {
     "op1_license_digests": OP1_SQL,
     "op2_merkle_audit": OP2_SQL,
     "op3_quality_rules": OP3_SQL,
+    "op10_lsh_forest_join": OP10_SQL,
 }

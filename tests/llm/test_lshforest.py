@@ -93,3 +93,11 @@ def test_intersections_in_runs(monkeypatch):
 @pytest.mark.parametrize("text,n", [(None, 0), (" ", 0), ("a", 1), ("a b c d e", 1), ("a b c d e f", 2), ("a " * 99, 1)])
 def test_shingle_counts(text, n):
     assert len(shingle_set(text)) == n
+
+
+def test_sql_finds_the_same_links(spark):
+    from shelfmark.llm import queries
+    from tests.oracle import assert_matches
+
+    sf = "/root/testdata/sf0.001"
+    assert assert_matches(queries.QUERIES["op10_lsh_forest_join"](spark, sf), queries.ORACLES["op10_lsh_forest_join"], sf) == 200
