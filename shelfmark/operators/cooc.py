@@ -13,7 +13,7 @@ def pairs(positive: DataFrame, cap: int = PAIR_CAP, least: int = LEAST, order: C
     """(book_id_a, book_id_b, co_count, pmi) with a < b as strings and co_count >= least.
 
     PMI is ln(co * N / (ca * cb)), floored at 0 and kept there. Marginals and N cover all positives; a reader's pairs come
-    from the first `cap` items by id, which is the reference semantics and bounds what one reader can emit.
+    from the first `cap` items by id, which bounds what one reader can emit and is how the pairs are defined.
     """
     seen = positive.select("user_id", "book_id").distinct()
     marginal = seen.groupBy("book_id").agg(F.count("*").alias("c"))
