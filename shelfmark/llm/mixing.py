@@ -230,9 +230,11 @@ def mixed_documents(df: DataFrame, plan: Mix, key: str = "doc_id", text: str = "
     be unique but for rows alike in key and text, which are taken as one of them each.
     """
     spans = plan.pieces.groupBy("src", "off", "turn").agg(F.sort_array(F.collect_list(F.struct("start", "words"))).alias("spans"), F.sum("words").alias("n"))
-    rows = plan.documents.where("size > 0").join(spans, ["src", "off"]).select(F.struct("key", "h", "size", "spans", "n").alias("_mix"))
-    full = df.withColumn("_h", F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))).dropDuplicates([key, "_h"])
-    joined = full.join(rows, full[key].eqNullSafe(rows["_mix.key"]) & (full["_h"] == rows["_mix.h"]))
+    # one exchange of the texts: repeats are dropped and spans are met by the same two columns, a null key as the least number
+    at = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(2**63)))
+    rows = plan.documents.where("size > 0").join(spans, ["src", "off"]).select(at("key").alias("_k"), F.col("h").alias("_h"), F.struct("size", "spans", "n").alias("_mix"))
+    full = df.withColumn("_k", at(key)).withColumn("_h", F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))).dropDuplicates(["_k", "_h"])
+    joined = full.join(rows, ["_k", "_h"])
     words = words_of(F.col(f"`{text}`"))
     cut = F.array_join(F.flatten(F.transform("_mix.spans", lambda s: F.slice(words, (s["start"] + 1).cast("int"), s["words"].cast("int")))), " ")
     new = F.when(F.col("_mix.n") == F.col("_mix.size"), F.col(f"`{text}`")).otherwise(cut)
