@@ -40,6 +40,8 @@ BLOCK = 256
 TASK_ROWS = 512
 #: Ids broadcast to pick texts weigh at most this; more are met by a shuffle join.
 BROADCAST_BYTES = 8 << 20
+#: Rows that a Python worker turns into output at a time.
+PART = 1000
 #: Distinct shingles laid out as bits at a time.
 COLUMNS = 1 << 16
 
@@ -80,14 +82,21 @@ def _signer(trees: int, depth: int, seed: int):
                 paths = values.reshape(trees, depth)
                 ends = [xxhash.xxh3_64_intdigest(p.tobytes(), seed=t) - (1 << 63) for t, p in enumerate(paths)]
                 # the top byte of a minimum is near 0, the low byte is uniform
+                if len(out) >= PART:
+                    yield _signed(out)
+                    out = []
                 out.append((key, xxhash.xxh3_128_digest(grams.tobytes()), len(grams), ends, (finalised(values) & np.uint64(255)).astype(np.uint8).tobytes()))
-            frame = pd.DataFrame(out, columns=["key", "node", "grams", "ends", "sketch"])
-            frame["key"] = frame["key"].astype("Int64")
-            yield frame
+            yield _signed(out)
 
     return run
 
 
+def _signed(rows: list[tuple]) -> pd.DataFrame:
+    frame = pd.DataFrame(rows, columns=["key", "node", "grams", "ends", "sketch"])
+    frame["key"] = frame["key"].astype("Int64")
+    return frame
+
+
 def _agreeing(least: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -102,7 +111,7 @@ def _agreeing(least: float):
 
 
 def _shingler(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
+    for b in (batch.iloc[i : i + PART] for batch in batches for i in range(0, len(batch), PART)):
         grams = [shingle_set(t).tobytes() for t in b["text"]]
         right = np.array([xxhash.xxh3_128_digest(g) == n for g, n in zip(grams, b["node"], strict=True)], dtype=bool)
         out = b[["group", "node", "copies", "blocks", "block"]].assign(grams=grams)
@@ -226,8 +235,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
 
 
 def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """df with one row of each class of near duplicates: that of the class's least key."""
-    kept = near_duplicates(df, key, text, **options).where(F.col(key).eqNullSafe(F.col("class_id"))).select(F.col(key).alias("_kept")).distinct()
-    return df.join(kept, df[key].cast("long").eqNullSafe(kept["_kept"])).drop("_kept").dropDuplicates([key])
-
+    """df with one row of each class of near duplicates: that of the class's least key. Rows of one key are taken as one.
 
+    The rows meet the kept keys and drop repeats under one exchange by key, where a null counts as the least number.
+    """
+    at = F.coalesce(F.col(key).cast("long"), F.lit(-(2**63)))
+    kept = near_duplicates(df, key, text, **options).where(F.col(key).eqNullSafe(F.col("class_id"))).select(at.alias("_k")).distinct()
+    return df.withColumn("_k", at).join(kept, "_k", "left_semi").dropDuplicates(["_k"]).drop("_k")

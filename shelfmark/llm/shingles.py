@@ -9,7 +9,7 @@ from shelfmark.llm.common import PY_WORD
 
 WIDTH = 5
 _MEMO: dict[str, int] = {}
-_MEMO_WORDS = 300_000
+_MEMO_WORDS = 100_000
 
 
 def _word_hashes(words: list[str]) -> np.ndarray:
