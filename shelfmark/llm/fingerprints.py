@@ -133,10 +133,13 @@ def with_next(df: DataFrame, columns: list[str], key: str = "doc_id", text: str
     row = row.withColumn("_range", _range_of(F.col("_order"), array, len(bounds)))
     opens = F.col("_order") == F.get(array, F.col("_range"))
     before = F.pmod(F.col("_range") - 1, F.lit(len(bounds)))
-    places = F.when(opens, F.array(F.struct(F.col("_range").alias("r"), F.lit(False).alias("guest")), F.struct(before.alias("r"), F.lit(True).alias("guest"))))
-    dealt = row.withColumn("_place", F.explode(places.otherwise(F.array(F.struct(F.col("_range").alias("r"), F.lit(False).alias("guest"))))))
-    w = Window.partitionBy("_place.r").orderBy("_place.guest", "_order", F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
-    led = dealt.select(*[F.col(f"`{c}`") for c in df.columns], F.col("_place.guest").alias("_guest"), F.lead(F.struct(*columns)).over(w).alias("_next"))
+    places = F.when(opens, F.array(F.struct(F.col("_range").alias("_r"), F.lit(False).alias("_guest")), F.struct(before.alias("_r"), F.lit(True).alias("_guest"))))
+    alone = F.array(F.struct(F.col("_range").alias("_r"), F.lit(False).alias("_guest")))
+    dealt = row.select(*[F.col(f"`{c}`") for c in df.columns], "_order", F.inline(places.otherwise(alone)))
+    # a range is a partition of its own, so no task gathers several
+    dealt = dealt.repartitionById(len(bounds), F.col("_r"))
+    w = Window.partitionBy("_r").orderBy("_guest", "_order", F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
+    led = dealt.select(*[F.col(f"`{c}`") for c in df.columns], "_guest", F.lead(F.struct(*columns)).over(w).alias("_next"))
     return led.where(~F.col("_guest")).select(*[F.col(f"`{c}`") for c in df.columns], *[F.col("_next").getField(c).alias(f"next_{c}") for c in columns])
 
 
