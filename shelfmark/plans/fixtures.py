@@ -50,12 +50,20 @@ ITEMS_SQL = f"""items AS (SELECT r.*, {', '.join(f'genre_{g}' for g in GENRES)},
   JOIN (SELECT CAST(p_partkey % {ITEMS} AS VARCHAR) AS book_id, {', '.join(f'max(CAST(p_size % 5 = {i} AS INTEGER)) AS genre_{g}' for i, g in enumerate(GENRES))} FROM part WHERE p_partkey < {ITEMS * 2} GROUP BY 1) f USING (book_id))"""
 
 
-def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(book_id, vec, cluster, macro)."""
-    e = table(spark, sf_dir, "embeddings").where(F.col("vec_id") < ITEMS)
+def _as_vectors(e: DataFrame) -> DataFrame:
     return e.select(F.col("vec_id").cast("string").alias("book_id"), F.col("embedding").cast("array<double>").alias("vec"), F.col("label").alias("cluster"), F.floor(F.col("label") / 2).cast("int").alias("macro"))
 
 
+def all_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(book_id, vec, cluster, macro) of every embedding."""
+    return _as_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """all_vectors of the ids below ITEMS alone, as VECTORS_SQL has them."""
+    return _as_vectors(table(spark, sf_dir, "embeddings").where(F.col("vec_id") < ITEMS))
+
+
 VECTORS_SQL = f"""vectors AS (SELECT CAST(vec_id AS VARCHAR) AS book_id, CAST(embedding AS DOUBLE[]) AS vec, label AS cluster, CAST(label // 2 AS INTEGER) AS macro FROM embeddings WHERE vec_id < {ITEMS})"""
 
 

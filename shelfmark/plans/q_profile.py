@@ -387,18 +387,18 @@ def clu_macro(spark, sf):
 
 @query("clu_ward_macros")
 def clu_ward(spark, sf):
-    return cluster.macros(retrieve.centroids(fx.vectors(spark, sf)), 4)
+    return cluster.macros(retrieve.centroids(fx.all_vectors(spark, sf)), 4)
 
 
 @query("clu_kmeans")
 def clu_kmeans(spark, sf):
-    v = fx.vectors(spark, sf)
+    v = fx.all_vectors(spark, sf)
     return cluster.assign(v, cluster.centres_of(spark, cluster.fit_kmeans(v, 10)))
 
 
 @query("clu_compare_k")
 def clu_compare(spark, sf):
-    return cluster.compare_k(fx.vectors(spark, sf), [5, 10])
+    return cluster.compare_k(fx.all_vectors(spark, sf), [5, 10])
 
 
 @query("clu_group_terms", f"WITH {fx.ITEMS_SQL}, v AS (SELECT author AS grp, unnest(string_split(array_to_string(list_filter([{', '.join(f'''CASE WHEN genre_{g} = 1 THEN '{g}' END''' for g in fx.GENRES)}], lambda x: x IS NOT NULL), '|'), '|')) AS genre FROM items), c AS (SELECT grp, genre, count(*) AS n FROM v WHERE genre <> '' GROUP BY 1, 2) SELECT grp AS author, genre, n, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY n DESC, genre) AS rank FROM c) WHERE rank <= 2")
