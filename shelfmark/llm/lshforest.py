@@ -73,10 +73,10 @@ def _signer(trees: int, depth: int, seed: int):
         factors = _factors(trees * depth, seed)
         for batch in batches:
             out = []
-            for key, text in zip(batch["key"], batch["text"], strict=True):
+            for key, mark, text in zip(batch["key"], batch["mark"], batch["text"], strict=True):
                 grams = shingle_set(text)
                 if not len(grams):
-                    out.append((key, None, 0, None, None))
+                    out.append((key, mark, None, 0, None, None))
                     continue
                 values = signature(grams, factors)
                 paths = values.reshape(trees, depth)
@@ -85,14 +85,14 @@ def _signer(trees: int, depth: int, seed: int):
                 if len(out) >= PART:
                     yield _signed(out)
                     out = []
-                out.append((key, xxhash.xxh3_128_digest(grams.tobytes()), len(grams), ends, (finalised(values) & np.uint64(255)).astype(np.uint8).tobytes()))
+                out.append((key, mark, xxhash.xxh3_128_digest(grams.tobytes()), len(grams), ends, (finalised(values) & np.uint64(255)).astype(np.uint8).tobytes()))
             yield _signed(out)
 
     return run
 
 
 def _signed(rows: list[tuple]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=["key", "node", "grams", "ends", "sketch"])
+    frame = pd.DataFrame(rows, columns=["key", "mark", "node", "grams", "ends", "sketch"])
     frame["key"] = frame["key"].astype("Int64")
     return frame
 
@@ -188,31 +188,29 @@ def _ties(nodes: DataFrame, least: float) -> DataFrame:
     return met.mapInPandas(_agreeing(least), "a binary, b binary")
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, trees: int = TREES, recall: float = TARGET_RECALL, block: int = BLOCK, seed: int = 11) -> DataFrame:
-    """One row for each row of df: key, `class_id`, `n_links`.
+def _marked(df: DataFrame, key: str, text: str) -> DataFrame:
+    return df.select(F.col(f"`{key}`").cast("long").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("mark"), F.col(f"`{text}`").alias("text"))
 
-    `n_links` is the number of other rows whose shingle set has a Jaccard similarity of `threshold` or more (rows
-    of the same set included), `class_id` the least key that links lead to. Keys are integers. A text without
-    words (null, empty, blank) has no links and is its own class; so has a null key's row the least other key of
-    its class, or null. Rows of one key count each by themselves. An empty table gives no rows; other columns play
-    no part.
-    """
+
+def _forest(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD, trees: int = TREES, recall: float = TARGET_RECALL, block: int = BLOCK, seed: int = 11) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(signs of rows, nodes with their first row's key and mark, links, linked nodes with their component)."""
     depth = prefix_depth(threshold, trees, recall)
     error = (threshold * (1 - threshold) / (trees * depth)) ** 0.5
-    docs = df.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
-    signs = written(docs.mapInPandas(_signer(trees, depth, seed), "key long, node binary, grams int, ends array<long>, sketch binary"), "forest-signs")
+    docs = _marked(df, key, text)
+    signs = written(docs.mapInPandas(_signer(trees, depth, seed), "key long, mark long, node binary, grams int, ends array<long>, sketch binary"), "forest-signs")
     worded = signs.where("node is not null")
-    nodes = worded.groupBy("node").agg(F.min("key").alias("first"), F.count("*").alias("copies"), F.any_value("ends").alias("ends"), F.any_value("sketch").alias("sketch"))
-    nodes = written(nodes, "forest-nodes")
+    row = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "mark")).alias("row")
+    nodes = worded.groupBy("node").agg(row, F.count("*").alias("copies"), F.any_value("ends").alias("ends"), F.any_value("sketch").alias("sketch"))
+    nodes = written(nodes.select("node", F.col("row.key").alias("first"), F.col("row.mark").alias("mark"), "copies", "ends", "sketch"), "forest-nodes")
 
     groups = written(connected_components(_ties(nodes, threshold - 7 * error)).withColumnRenamed("component", "group"), "forest-groups")
     sized = groups.groupBy("group").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    placed = groups.join(sized, "group").join(nodes.select("node", "first", "copies"), "node")
+    placed = groups.join(sized, "group").join(nodes.select("node", "first", "mark", "copies"), "node")
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     placed = written(placed, "forest-placed")
     n, work = placed.agg(F.count("*"), F.sum("blocks")).first()
-    chosen = F.broadcast(placed) if n * 120 <= BROADCAST_BYTES else placed
-    texts = docs.join(chosen, docs["key"].eqNullSafe(placed["first"])).select("text", "group", "node", "copies", "blocks", "block")
+    chosen = F.broadcast(placed) if n * 128 <= BROADCAST_BYTES else placed
+    texts = docs.join(chosen, docs["key"].eqNullSafe(placed["first"]) & (docs["mark"] == placed["mark"])).select("text", "group", "node", "copies", "blocks", "block")
     # rows that share a key and a text are one node: one of them is enough
     grams = texts.mapInPandas(_shingler, "group binary, node binary, copies long, blocks int, block int, grams binary")
     grams = written(grams, "forest-grams").dropDuplicates(["node"])
@@ -222,23 +220,43 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     found = each.withColumn("task", F.pmod(F.xxhash64("group", "i", "j"), F.lit(tasks))).groupBy("task").applyInPandas(_verifier(threshold), "node binary, label binary, links long")
     found = written(found, "forest-links")
 
+    return signs, nodes, found, connected_components(found, "node", "label")
+
+
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, trees: int = TREES, recall: float = TARGET_RECALL, block: int = BLOCK, seed: int = 11) -> DataFrame:
+    """One row for each row of df: key, `class_id`, `n_links`.
+
+    `n_links` is the number of other rows whose shingle set has a Jaccard similarity of `threshold` or more (rows
+    of the same set included), `class_id` the least key that links lead to. Keys are integers. A text without
+    words (null, empty, blank) has no links and is its own class; so has a null key's row the least other key of
+    its class, or null. Rows of one key count each by themselves. An empty table gives no rows; other columns play
+    no part.
+    """
+    signs, nodes, found, classes = _forest(df, key, text, threshold, trees, recall, block, seed)
     linked = found.groupBy("node").agg(F.sum("links").alias("links"))
-    classes = connected_components(found, "node", "label")
     firsts = classes.join(nodes.select("node", "first"), "node")
     least = firsts.groupBy("component").agg(F.min("first").alias("class_id"))
     of_class = firsts.join(least, "component").select("node", "class_id")
     per_node = nodes.select("node", "first", "copies").join(linked, "node", "left").join(of_class, "node", "left")
     per_node = per_node.select("node", F.coalesce("class_id", "first").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    rows = worded.select("key", "node").join(per_node, "node").select("key", "class_id", "n_links")
+    rows = signs.where("node is not null").select("key", "node").join(per_node, "node").select("key", "class_id", "n_links")
     alone = signs.where("node is null").select("key", F.col("key").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return rows.unionByName(alone).withColumnRenamed("key", key)
 
 
 def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """df with one row of each class of near duplicates: that of the class's least key. Rows of one key are taken as one.
+    """df with one row of each class of near duplicates: that of the class's least key, null coming last.
 
-    The rows meet the kept keys and drop repeats under one exchange by key, where a null counts as the least number.
+    Keys need not be unique: rows of one key and unlike texts are of several classes, each of which keeps a row. If rows of
+    unlike texts share a class's least key, that of the least text hash stays. Rows of one key and one text are one row;
+    those are all that a text without words loses. Rows meet the kept ones and drop repeats under one exchange by key and
+    text hash, where a null key counts as the least number.
     """
-    at = F.coalesce(F.col(key).cast("long"), F.lit(-(2**63)))
-    kept = near_duplicates(df, key, text, **options).where(F.col(key).eqNullSafe(F.col("class_id"))).select(at.alias("_k")).distinct()
-    return df.withColumn("_k", at).join(kept, "_k", "left_semi").dropDuplicates(["_k"]).drop("_k")
+    signs, nodes, _, classes = _forest(df, key, text, **options)
+    row = F.struct(F.col("first").isNull().alias("none"), "first", "mark")
+    of_class = nodes.select("node", row.alias("row")).join(classes, "node", "left").groupBy(F.coalesce("component", "node").alias("class"))
+    kept = of_class.agg(F.min("row").alias("row")).select(F.col("row.first").alias("key"), F.col("row.mark").alias("_mark"))
+    kept = kept.unionByName(signs.where("node is null").select("key", F.col("mark").alias("_mark")))
+    at = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(2**63)))
+    marked = df.withColumn("_k", at(f"`{key}`")).withColumn("_mark", F.xxhash64(F.col(f"`{text}`")))
+    return marked.join(kept.select(at("key").alias("_k"), "_mark"), ["_k", "_mark"], "left_semi").dropDuplicates(["_k", "_mark"]).drop("_k", "_mark")

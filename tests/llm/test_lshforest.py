@@ -71,6 +71,18 @@ def test_nulls_repeats_and_an_empty_table(spark):
     assert sorted(r.doc_id for r in deduplicated(df).collect()) == [1, 2, 3, 4]
 
 
+@pytest.mark.parametrize("shared", [7, None])
+def test_unlike_texts_of_one_key_stay(spark, shared):
+    rng = random.Random(5)
+    text = lambda: " ".join(rng.choices([f"v{i}" for i in range(500)], k=60))
+    near, unique = text(), [text() for _ in range(8)]
+    # a near copy of row 3, and texts of their own, all at one key
+    rows = [(3, near), (shared, near + " more"), *[(shared, t) for t in unique], (shared, unique[0]), (9, unique[1])]
+    kept = deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    least = 9 if shared is None else shared
+    assert sorted((r.text, r.doc_id) for r in kept) == sorted([(near, 3), (unique[1], least), *[(t, shared) for t in unique if t != unique[1]]])
+
+
 def test_prefixes_are_shortened_to_the_target():
     d = prefix_depth(0.8, 32, 0.9999, 12)
     assert 1 - (1 - 0.8**d) ** 32 >= 0.9999 > 1 - (1 - 0.8 ** (d + 1)) ** 32
