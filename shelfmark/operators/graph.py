@@ -115,10 +115,12 @@ def _paths_from(source: str, near: dict[str, list[tuple[str, float]]]) -> dict[s
 def betweenness(vertices: DataFrame, edges: DataFrame, sources: int = 500, seed: int = 42, most_edges: int = 20_000_000) -> DataFrame:
     """(id, betweenness): normalised shortest-path betweenness from up to `sources` seeded sources, weights being lengths.
 
-    Sources are dealt over the tasks, each of which needs the adjacency, so the edge table is broadcast behind a check of
-    its size; a graph beyond `most_edges` is refused.
+    Sources are drawn from the vertices with edges, as no path starts at the others. They are dealt over the tasks, each of
+    which needs the adjacency, so the edge table is broadcast behind a check of its size; a graph beyond `most_edges` is
+    refused. Vertices at one distance, joined by edges of length 0, are passed only in the order in which the search closes them.
     """
-    n, m = vertices.count(), edges.count()
+    connected = vertices.select("id").join(edges.select(F.explode(F.array("a", "b")).alias("id")), "id", "left_semi")
+    n, m, reached = vertices.count(), edges.count(), connected.count()
     if m > most_edges:
         raise ValueError(f"{m} edges do not fit a broadcast; cut the graph by a threshold first")
     near: dict[str, list[tuple[str, float]]] = defaultdict(list)
@@ -126,8 +128,8 @@ def betweenness(vertices: DataFrame, edges: DataFrame, sources: int = 500, seed:
         near[r[0]].append((r[1], r[2]))
         near[r[1]].append((r[0], r[2]))
     shared = vertices.sparkSession.sparkContext.broadcast(dict(near))
-    chosen = vertices.select("id").orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(sources)
-    used = min(sources, n)
+    chosen = connected.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(sources)
+    used = min(sources, reached)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -138,7 +140,7 @@ def betweenness(vertices: DataFrame, edges: DataFrame, sources: int = 500, seed:
             yield pd.DataFrame({"id": list(total), "x": list(total.values())})
 
     parts = chosen.repartition(vertices.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, "id string, x double")
-    scale = 1.0 / ((n - 1) * (n - 2)) * (n / used) if n > 2 and used else 0.0
+    scale = 1.0 / ((n - 1) * (n - 2)) * (reached / used) if n > 2 and used else 0.0
     sums = parts.groupBy("id").agg((F.sum("x") * scale).alias("betweenness"))
     return vertices.select("id").join(sums, "id", "left").select("id", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
 

@@ -279,7 +279,7 @@ def gra_popularity(spark, sf):
 @query("gra_betweenness")
 def gra_betweenness(spark, sf):
     v, e = graph_of(spark, sf)
-    return graph.betweenness(v, e.where("w > 0.3").select("a", "b", "w"), 50)
+    return graph.betweenness(v, e.select("a", "b", "w"))
 
 
 @query("gra_export", f"WITH {_G}, d AS (SELECT v.book_id AS id, coalesce(sum(w), 0) AS rank FROM vectors v LEFT JOIN x ON x.id = v.book_id GROUP BY 1), k AS (SELECT id FROM d ORDER BY round(rank, 9) DESC, id LIMIT 60), i AS (SELECT * FROM e WHERE a IN (SELECT id FROM k) AND b IN (SELECT id FROM k)), y AS (SELECT a AS id, b AS other, w FROM i UNION ALL SELECT b, a, w FROM i), s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(w, 9) DESC, other) AS r FROM y) WHERE r <= 3) SELECT a, b, round(w, 6) AS w FROM i WHERE (a, b) IN (SELECT (least(id, other), greatest(id, other)) FROM s)")

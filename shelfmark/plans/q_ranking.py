@@ -510,7 +510,7 @@ def eva_slots(spark, sf):
 
 @query("eva_bootstrap")
 def eva_bootstrap(spark, sf):
-    return metrics.bootstrap(per_user(spark, sf), "recall", 200)
+    return metrics.bootstrap(per_user(spark, sf), "recall", 1000)
 
 
 # habits
