@@ -43,6 +43,47 @@ def test_nulls_repeats_and_an_empty_table(spark):
     assert Counter(r._shard for r in external_shuffle(df.limit(1), 16).collect()) == {0: 1}
 
 
+def test_rows_alike_are_split_over_buckets(spark):
+    rows = [(None, "hot", None, None)] * 2000 + [(i % 2, f"t{i}", "en", "") for i in range(500)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    place = lambda d: sorted((r._shard, r._slot, str(r.doc_id), r.text) for r in external_shuffle(d, 5, bucket_bytes=2000, piece_rows=50).collect())
+    out = place(df)
+    assert out == place(df.repartition(9))
+    assert sorted((k, t) for _, _, k, t in out) == sorted((str(r[0]), r[1]) for r in rows)
+    assert [(s, k) for s, k, _, _ in out] == [(s, k) for s in range(5) for k in range(500)]
+    hot = Counter(s for s, _, _, t in out if t == "hot")
+    assert all(300 < hot[s] < 480 for s in range(5))
+
+
+def shuffled_by_hand(spark, rows, shards, buckets, seed):
+    """The law of the query worked out row by row: buckets by hash, in order of hash, each one shuffled, laid end to end."""
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    hashed = df.select("doc_id", F.xxhash64(*df.columns).alias("h")).select("doc_id", "h", F.pmod(F.xxhash64(F.lit(seed), "h"), F.lit(buckets)).alias("b")).collect()
+    at, out = 0, {}
+    for b in range(buckets):
+        mine = [r.doc_id for r in sorted((r for r in hashed if r.b == b), key=lambda r: r.h)]
+        # a one-row table in partition b of as many as there are buckets
+        parts = spark.range(0, buckets, 1, buckets).where(F.col("id") == b).select(F.shuffle(F.lit(mine) if mine else F.array().cast("array<long>"), F.lit(seed)).alias("x"))
+        for doc in parts.first().x:
+            shard = at * shards // len(rows)
+            out[doc] = (shard, at - -(-shard * len(rows) // shards))
+            at += 1
+    return out
+
+
+def test_query_places_rows_by_the_law(spark, monkeypatch):
+    from shelfmark.llm import q_sharding
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source")
+    monkeypatch.setattr(q_sharding, "external_shuffle", lambda d: external_shuffle(d, bucket_bytes=50_000))
+    got = {r.doc_id: (r.shard, r.slot) for r in q_sharding.op9_external_shuffle(spark, sf).collect()}
+    width = sum(16 + sum(len(x.encode()) for x in r[1:] if x) for r in docs.collect())
+    assert got == shuffled_by_hand(spark, [tuple(r) for r in docs.collect()], 16, -(-width // 50_000), 17)
+
+
 def test_written_shards(spark, tmp_path):
     df = external_shuffle(spark.createDataFrame(made(100), SCHEMA), 4)
     write_shards(df, f"file://{tmp_path}/s")
