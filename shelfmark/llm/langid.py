@@ -5,25 +5,27 @@ of the greatest length of which any is known, else the next shorter, down to sin
 scores of all words of a text are summed; the highest wins.
 
 Counting runs on the cluster and covers a bounded sample of labelled text: for each language, documents picked
-by a hash of their id until about `train_chars` characters are expected. So the model's size is bounded
-whatever the corpus's, and it is this model alone that is sent to the executors.
+by a hash of their id until about `train_chars` characters are expected, and at most `total_chars` in all. So
+the model's size is bounded whatever the corpus's, and it is this model alone that is sent to the executors.
 """
 
 from __future__ import annotations
 
-import math
-import re
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.store import written
+
 #: Characters of labelled text for each language, in expectation.
 TRAIN_CHARS = 4_000_000
+#: Characters of labelled text in all, in expectation; where there are many languages, each has an equal part of it.
+TOTAL_CHARS = 64_000_000
 #: The most frequent words kept as known words, for each language.
 KNOWN_WORDS = 40_000
 #: Least count of a known word; rarer ones score by their n-grams.
@@ -33,7 +35,9 @@ SMOOTHING = 0.5
 #: The posterior is taken as of a text of at most so many words, so long texts do not all score 1 alike.
 EVIDENCE_WORDS = 30
 UNKNOWN = "und"
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Letters of any script; numerals and symbols such as ½, Ⅷ or ① are none.
+LETTERS = r"\p{L}+"
+_LETTERS = regex.compile(LETTERS)
 #: Words that a Python worker remembers beyond the model's.
 MEMO = 200_000
 
@@ -55,43 +59,58 @@ class Model:
         return np.zeros(len(self.languages), dtype=np.float32)
 
 
-def _log_share(counts: dict[str, np.ndarray], total: np.ndarray) -> tuple[dict[str, int], np.ndarray]:
-    keys = sorted(counts)
-    table = np.array([counts[k] for k in keys], dtype=np.float64).reshape(len(keys), len(total))
+def _counts(found: pd.DataFrame, names: list[str]) -> tuple[list[str], np.ndarray]:
+    """The keys in code point order and a row of counts by language for each, of (lang, key, count)."""
+    codes, keys = pd.factorize(found["key"], sort=True)
+    table = np.zeros((len(keys), len(names)))
+    np.add.at(table, (codes, found["lang"].map({k: i for i, k in enumerate(names)}).to_numpy(dtype=np.int64)), found["count"].to_numpy(dtype=np.float64))
+    return list(keys), table
+
+
+def _log_share(keys: list[str], table: np.ndarray, total: np.ndarray) -> tuple[dict[str, int], np.ndarray]:
     shares = np.log((table + SMOOTHING) / (total + SMOOTHING * max(1, len(keys))))
     return {k: i for i, k in enumerate(keys)}, shares.astype(np.float32)
 
 
-def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", train_chars: int = TRAIN_CHARS, known_words: int = KNOWN_WORDS, seed: int = 5) -> Model:
-    """A model of the rows of `labelled`; rows with a null text, key or language teach nothing. No rows give a model without languages."""
+def _grams(padded: Column, n: int) -> Column:
+    """The runs of n characters of a word between its marks, each with n."""
+    last = F.length(padded) - (n - 1)
+    runs = F.transform(F.sequence(F.lit(1), last), lambda i: F.struct(F.lit(n).alias("n"), F.substring(padded, i, F.lit(n)).alias("key")))
+    return F.when(last >= 1, runs).otherwise(F.array().cast("array<struct<n:int,key:string>>"))
+
+
+def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", train_chars: int = TRAIN_CHARS, total_chars: int = TOTAL_CHARS, known_words: int = KNOWN_WORDS, seed: int = 5) -> Model:
+    """A model of the rows of `labelled`; rows with a null text, key or language teach nothing. No rows give a model without languages.
+
+    Words and their grams are counted on the cluster; what comes to the driver is counts of at most `total_chars` characters.
+    """
     rows = labelled.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang")).dropna()
     # one small row for each language
     volume = {r["lang"]: r["chars"] for r in rows.groupBy("lang").agg(F.sum(F.length("text")).alias("chars")).collect()}
     names = sorted(volume)
     if not names:
         return Model([], {}, np.zeros((0, 0), np.float32), [{} for _ in ORDERS], [np.zeros((0, 0), np.float32) for _ in ORDERS])
-    rates = F.create_map(*[x for k in names for x in (F.lit(k), F.lit(min(1.0, train_chars / max(1, volume[k]))))])
+    each = min(train_chars, total_chars // len(names))
+    rates = F.create_map(*[x for k in names for x in (F.lit(k), F.lit(min(1.0, each / max(1, volume[k]))))])
     drawn = F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(1 << 30)) / float(1 << 30) < F.try_element_at(rates, F.col("lang"))
-    words = rows.where(drawn).select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}]+)"), 1)).alias("w"))
-    at = {k: i for i, k in enumerate(names)}
-    counts: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(names)))
-    # bounded by the sample's characters, not by the corpus
-    for r in words.groupBy("lang", "w").count().toLocalIterator(prefetchPartitions=True):
-        counts[r["w"]][at[r["lang"]]] += r["count"]
-    grams: list[dict[str, np.ndarray]] = [defaultdict(lambda: np.zeros(len(names))) for _ in ORDERS]
-    for w, c in counts.items():
-        padded = f"<{w}>"
-        for n, into in zip(ORDERS, grams, strict=True):
-            for i in range(len(padded) - n + 1):
-                into[padded[i : i + n]] += c
-    top: set[str] = set()
-    for i in range(len(names)):
-        ranked = sorted((-c[i], w) for w, c in counts.items() if c[i] >= LEAST)
-        top |= {w for _, w in ranked[:known_words]}
-    total = sum(counts.values(), np.zeros(len(names)))
-    known, scores = _log_share({w: counts[w] for w in top}, total)
-    pairs = [_log_share(g, sum(g.values(), np.zeros(len(names)))) for g in grams]
-    return Model(names, known, scores, [p[0] for p in pairs], [p[1] for p in pairs])
+    words = rows.where(drawn).select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(LETTERS), 0)).alias("key"))
+    counted = written(words.groupBy("lang", "key").agg(F.count("*").alias("count")), "langid-words")
+    found = counted.toArrow().to_pandas()
+    keys, table = _counts(found, names)
+    total = table.sum(axis=0)
+    top: set[int] = set()
+    for i in range(len(names)):  # the keys are in order already, so ties go to the first
+        ranked = np.argsort(-table[:, i], kind="stable")[:known_words]
+        top |= set(ranked[table[ranked, i] >= LEAST].tolist())
+    known = sorted(top)
+    ids, scores = _log_share([keys[k] for k in known], table[known], total)
+    marked = F.concat(F.lit("<"), F.col("key"), F.lit(">"))
+    grams = counted.select("lang", "count", F.inline(F.concat(*[_grams(marked, n) for n in ORDERS]))).groupBy("lang", "n", "key").agg(F.sum("count").alias("count")).toArrow().to_pandas()
+    pairs = []
+    for n in ORDERS:
+        of, counts = _counts(grams[grams["n"] == n], names)
+        pairs.append(_log_share(of, counts, counts.sum(axis=0)))
+    return Model(names, ids, scores, [p[0] for p in pairs], [p[1] for p in pairs])
 
 
 class Scorer:
@@ -112,7 +131,7 @@ class Scorer:
         return self.rows[word]
 
     def __call__(self, text: str | None) -> tuple[str, float]:
-        words = LETTERS.findall(text.lower()) if text else []
+        words = _LETTERS.findall(text.lower()) if text else []
         if not words or not self.m.languages:
             return UNKNOWN, 0.0
         total = np.zeros(len(self.m.languages))
@@ -137,7 +156,7 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """df with `lang_pred` and `score` (0 to 1, the posterior of that language).
 
     `und` with score 0 where the text is null or has no letters, or the model has no languages. A tie goes to the
-    language that is first by name. Columns of df named lang_pred or score are replaced; repeated rows stay.
+    language that is first by name. A text of any length counts as a whole. Columns of df named lang_pred or score are replaced; repeated rows stay.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
     names = [c for c in df.columns if c not in ("lang_pred", "score")]

@@ -1,8 +1,10 @@
 import random
+import unicodedata
 import zlib
 
 import pytest
 
+from shelfmark.llm import queries
 from shelfmark.llm.langid import UNKNOWN, Scorer, fit, held_out, identify
 
 PARTS = {"xx": ["ka", "lo", "mu", "ri"], "yy": ["sch", "ung", "tz", "eb"], "zz": ["aux", "ou", "é", "tre"]}
@@ -46,6 +48,61 @@ def test_texts_without_letters(spark, model):
     assert out[5].lang_pred == "xx" and out[6].lang_pred == "xx"
 
 
+def score_by_hand(rows, texts):
+    """The method worked out with dictionaries and Python's own letters, sharing no code with the operator."""
+    from collections import Counter
+    from math import exp, log
+
+    def words_of(text):
+        return "".join(c if unicodedata.category(c)[0] == "L" else " " for c in (text or "").lower()).split()
+
+    langs = sorted({lang for _, t, lang in rows if t is not None and lang is not None})
+    words = {k: Counter(w for _, t, lang in rows if lang == k and t for w in words_of(t)) for k in langs}
+    known = {w for k in langs for w, _ in sorted(((w, c) for w, c in words[k].items() if c >= 2), key=lambda x: (-x[1], x[0]))[:40_000]}
+    grams = {n: {k: Counter() for k in langs} for n in (4, 3, 2, 1)}
+    for n, of in grams.items():
+        for k in langs:
+            for w, c in words[k].items():
+                for i in range(len(w) + 3 - n):
+                    of[k][f"<{w}>"[i : i + n]] += c
+    kinds = {n: len(set().union(*of.values())) for n, of in grams.items()}
+    total = {k: sum(words[k].values()) for k in langs}
+
+    def of_word(w):
+        if w in known:
+            return [log((words[k][w] + 0.5) / (total[k] + 0.5 * len(known))) for k in langs]
+        for n, of in grams.items():
+            hits = [g for i in range(len(w) + 3 - n) if any((g := f"<{w}>"[i : i + n]) in of[k] for k in langs)]
+            if hits:
+                return [sum(log((of[k][g] + 0.5) / (of[k].total() + 0.5 * kinds[n])) for g in hits) / len(hits) for k in langs]
+        return [0.0] * len(langs)
+
+    out = {}
+    for key, text in texts:
+        ws = words_of(text)
+        if not ws:
+            out[key] = ("und", 0.0)
+            continue
+        sums = [sum(c) for c in zip(*map(of_word, ws), strict=True)]
+        best = max(sums)
+        out[key] = (langs[sums.index(best)], 1 / sum(exp((x - best) * min(1, 30 / len(ws))) for x in sums))
+    return out
+
+
+def test_query_against_scores_by_hand(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    taught = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    want = score_by_hand(taught, [r[:2] for r in rows])
+    got = queries.QUERIES["op5_word_backoff_langid"](spark, sf).collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert r.lang_pred == want[r.doc_id][0] and r.score == pytest.approx(want[r.doc_id][1], abs=1e-4)
+    truth = {k: lang for k, _, lang in rows}
+    held = [r for r in got if r.held_out]
+    assert sum(r.lang_pred == truth[r.doc_id] for r in held) >= 0.95 * len(held)
+
+
 def test_nothing_to_learn_from(spark):
     df = spark.createDataFrame([(1, None, "xx"), (2, "abc", None)], "doc_id long, text string, lang string")
     assert identify(df, fit(df)).first().lang_pred == UNKNOWN
