@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmark.llm.tokens import default_path, encoder
+from shelfmark.llm.tokens import default_path, encode
 
 #: Window lengths, powers of two.
 TIERS = (256, 512, 1024)
@@ -32,7 +32,7 @@ CHUNK_TOKENS = 1 << 20
 
 PIECES = T.StructType(
     [
-        T.StructField("row", T.LongType()),
+        T.StructField("row", T.StringType()),
         T.StructField("start", T.LongType()),
         T.StructField("length", T.LongType()),
         T.StructField("ids", T.BinaryType()),
@@ -134,11 +134,10 @@ def _pack_partition(path: str, tiers: tuple[int, ...], step_tokens: int, chunk_t
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        encode = encoder(path).encode_to_numpy
         task = TaskContext.get().partitionId()
         packer = Packer(tiers)
         held: list[np.ndarray] = []
-        rows: list[int] = []
+        rows: list[str | None] = []
         state = {"sequence": task << 40, "group": task << 40}
 
         def emit(last: bool) -> pd.DataFrame:
@@ -169,7 +168,7 @@ def _pack_partition(path: str, tiers: tuple[int, ...], step_tokens: int, chunk_t
         waiting = 0
         for batch in batches:
             for row, text in zip(batch["row"], batch["text"], strict=True):
-                ids = np.append(encode(text or "", disallowed_special=()), np.uint32(0)).astype("<u4", copy=False)
+                ids = np.append(encode(path, text or ""), np.uint32(0)).astype("<u4", copy=False)
                 packer.add(len(held), len(ids))
                 held.append(ids)
                 rows.append(row)
@@ -188,11 +187,13 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str
     Columns: the key's, `start` (the document's ids before the piece), `length`, `ids` (little-endian unsigned
     32-bit ids as bytes), `doc_tokens` (with the end id 0), `sequence_id`, `offset` in the window (gapless from
     0), `context` (the window's length) and `step_group`. Every id of every document lies in one piece. A null
-    text is an empty one, which has the end id alone; repeated rows are packed each by themselves; a null key
-    stays null; other columns play no part; an empty table gives no rows. A task's last window may be short.
+    text is an empty one, which has the end id alone; a text of any length is cut into windows; repeated rows are
+    packed each by themselves; a key is of any type that text can tell, and a null one stays null; other columns
+    play no part; an empty table gives no rows. A task's last window may be short.
     """
     assert all(t & (t - 1) == 0 for t in tiers) and list(tiers) == sorted(tiers)
-    rows = df.select(F.col(f"`{key}`").cast("long").alias("row"), F.col(f"`{text}`").alias("text"))
+    # as text, for pandas makes floats of whole numbers among nulls
+    rows = df.select(F.col(f"`{key}`").cast("string").alias("row"), F.col(f"`{text}`").alias("text"))
     run = _pack_partition(tokenizer or default_path(), tuple(tiers), step_tokens, chunk_tokens)
     packed = rows.mapInPandas(run, PIECES)
     return packed.select(F.col("row").cast(df.schema[key].dataType).alias(key), *PIECES.names[1:])

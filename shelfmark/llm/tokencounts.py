@@ -1,10 +1,12 @@
 """Edit-aware token counts: a segment tree of pre-tokens for each document.
 
 A document's pre-tokens are cut into runs of `LEAF`; a leaf has its run's characters and tokens, an inner node
-its children's sums, both as arrays in heap order (node 1 is the root, leaves fill the last half). An edit of
-characters a to b can only move pre-token ends after a - 2, as a pre-token's match looks at most two characters
-past its end. So encoding starts anew at the leaf that holds such an end, and stops at the first boundary that
-was one before at or after b: from there the pre-tokens are the old ones. The new run is dealt to the leaves it
+its children's sums, both as arrays in heap order (node 1 is the root, leaves fill the last half). The tokenizer's
+special strings are pre-tokens of their own, and the text between two is cut as if it stood alone. An edit of
+characters a to b can only move pre-token ends after a - `reach`, as a pre-token's match looks at most two
+characters past its end, and at most a special string's length to see that one begins there. So encoding starts
+anew at the leaf that holds such an end, and stops at the first boundary that was one before at or after b: from
+there the pre-tokens are the old ones. The new run is dealt to the leaves it
 replaces, and the sums above them are updated; a leaf that outgrows `SPLIT` times its size makes the tree anew.
 """
 
@@ -18,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.tokens import PATTERN, default_path, encoder
+from shelfmark.llm.tokens import PATTERN, default_path, encode, specials
 
 LEAF = 64
 SPLIT = 4
@@ -27,11 +29,26 @@ _MEMO_PIECES = 400_000
 
 
 class Counter:
-    """Tokens of a pre-token, remembered up to a bound."""
+    """Pre-tokens and the tokens of each, remembered up to a bound."""
 
     def __init__(self, path: str) -> None:
-        self.encode = encoder(path).encode_ordinary
+        self.path = path
         self.memo: dict[str, int] = {}
+        special = specials(path)
+        self.special = regex.compile("|".join(map(regex.escape, special)) or r"(?!)")
+        #: How far before an edit a pre-token's end can be moved by it.
+        self.reach = max([2, *map(len, special)])
+
+    def pieces(self, text: str, begin: int = 0) -> Iterator[str]:
+        """The pre-tokens from character `begin` on, which is the end of one or the text's start."""
+        while True:
+            hit = self.special.search(text, begin)
+            for m in _PIECES.finditer(text, begin, hit.start() if hit else len(text)):
+                yield m[0]
+            if not hit:
+                return
+            yield hit[0]
+            begin = hit.end()
 
     def total(self, pieces: list[str]) -> int:
         get, n = self.memo.get, 0
@@ -40,7 +57,7 @@ class Counter:
             if k is None:
                 if len(self.memo) > _MEMO_PIECES:
                     self.memo.clear()
-                k = self.memo[p] = len(self.encode(p))
+                k = self.memo[p] = len(encode(self.path, p))
             n += k
         return n
 
@@ -85,7 +102,7 @@ class Tree:
 
 
 def built(text: str, counter: Counter, leaf: int = LEAF) -> Tree:
-    pieces = _PIECES.findall(text)
+    pieces = list(counter.pieces(text))
     runs = [pieces[i : i + leaf] for i in range(0, len(pieces), leaf)]
     return Tree.over([(sum(map(len, r)), counter.total(r)) for r in runs])
 
@@ -98,7 +115,7 @@ def apply_edit(text: str, tree: Tree, start: int, end: int, new: str, counter: C
     if not text or not after:
         return after, built(after, counter, leaf), len(after)
     moved = len(after) - len(text)
-    first, begin = tree.leaf_after(start - 2)
+    first, begin = tree.leaf_after(start - counter.reach)
     # the old leaf starts at or after the edit's end, in new places
     last, at = tree.leaf_after(end)
     if at < end or last == first:  # the leaf where encoding starts is always replaced
@@ -107,9 +124,9 @@ def apply_edit(text: str, tree: Tree, start: int, end: int, new: str, counter: C
     pieces: list[str] = []
     here = begin
     goal = at + moved
-    for m in _PIECES.finditer(after, begin):
-        here = m.end()
-        pieces.append(m[0])
+    for piece in counter.pieces(after, begin):
+        here += len(piece)
+        pieces.append(piece)
         while goal < here and last < tree.size and tree.chars[tree.size + last]:
             goal += tree.chars[tree.size + last]
             last += 1
@@ -160,7 +177,7 @@ def _editing(path: str, leaf: int):
                 chars.append(tree.chars)
                 tokens.append(tree.tokens)
                 work.append(n)
-            yield pd.DataFrame({"key": b["key"].astype("Int64"), "text": texts, "chars": chars, "tokens": tokens, "tokens_before": first, "reencoded": work})
+            yield pd.DataFrame({"key": b["key"], "text": texts, "chars": chars, "tokens": tokens, "tokens_before": first, "reencoded": work})
 
     return run
 
@@ -169,10 +186,12 @@ def counted(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: s
     """(key, text, chars, tokens): each row's text with its tree; `tokens[1]` is its number of tokens.
 
     A null text is an empty one, whose tree has one empty leaf. Repeated rows are counted each by themselves, a null
-    key stays null, other columns play no part, and an empty table gives no rows.
+    key stays null, other columns play no part, and an empty table gives no rows. Keys keep their type, which may be any
+    that text can tell.
     """
-    rows = df.select(F.col(f"`{key}`").cast("long").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    return rows.mapInPandas(_counting(tokenizer or default_path(), leaf), f"key long, text string, {TREE}")
+    rows = df.select(F.col(f"`{key}`").cast("string").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    made = rows.mapInPandas(_counting(tokenizer or default_path(), leaf), f"key string, text string, {TREE}")
+    return made.withColumn("key", F.col("key").cast(df.schema[key].dataType))
 
 
 def recounted(trees: DataFrame, edits: str = "edits", tokenizer: str | None = None, leaf: int = LEAF) -> DataFrame:
@@ -182,5 +201,6 @@ def recounted(trees: DataFrame, edits: str = "edits", tokenizer: str | None = No
     edit or one that changes nothing leaves the text as it is; null fields count as 0 or an empty text. `reencoded` is
     the number of characters that were encoded anew.
     """
-    rows = trees.select("key", "text", "chars", "tokens", F.col(edits).alias("edits"))
-    return rows.mapInPandas(_editing(tokenizer or default_path(), leaf), f"key long, text string, {TREE}, tokens_before long, reencoded long")
+    rows = trees.select(F.col("key").cast("string").alias("key"), "text", "chars", "tokens", F.col(edits).alias("edits"))
+    made = rows.mapInPandas(_editing(tokenizer or default_path(), leaf), f"key string, text string, {TREE}, tokens_before long, reencoded long")
+    return made.withColumn("key", F.col("key").cast(trees.schema["key"].dataType))

@@ -1,5 +1,6 @@
 import zlib
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 from hypothesis import given, settings
@@ -7,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import Row
 
 from shelfmark.llm.packing import Packer, pack, step_groups
-from shelfmark.llm.tokens import default_path, encoder
+from shelfmark.llm.tokens import default_path, encode
 
 
 @settings(max_examples=60, deadline=None)
@@ -45,8 +46,7 @@ def test_ids_are_those_of_the_tokenizer_file_and_rows_repeat(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(default_path())
-    t.encode_special_tokens = True
-    texts = {1: "Hello  world.\n\tIt's 12 o'clock", 2: None, 3: "", 4: "é<|endoftext|>漢字 " * 900, 5: " ", 6: "x" * 3000}
+    texts = {1: "Hello  world.\n\tIt's 12 o'clock", 2: None, 3: "", 4: "é<|endoftext|>漢字 " * 900, 7: "a <|endoftext|> b \n<|endoftext|><|endoftext|", 8: "<|endoftext|>", 5: " ", 6: "x" * 3000}
     df = spark.createDataFrame([Row(doc_id=k, text=v, start="clash", length=None) for k, v in texts.items()] + [Row(doc_id=1, text=texts[1], start="c", length=None)], "doc_id long, text string, start string, length string")
     rows = pack(df.coalesce(1)).collect()
     pieces = defaultdict(list)
@@ -76,5 +76,15 @@ def test_ids_are_those_of_the_tokenizer_file_and_rows_repeat(spark):
     assert pack(df.limit(0)).count() == 0
 
 
-def test_encoder_keeps_special_strings_as_text():
-    assert encoder(default_path()).encode_ordinary("<|endoftext|>") != [50256]
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from(["<|endoftext|>", "<|", "endoftext", "|>", " ", "  \n", "'s", "\x1c", "\x85", "\u200b", "\u3000", "½", "٣", "e\u0301"]), st.text(max_size=6)), max_size=12))
+def test_ids_are_those_of_the_tokenizer_at_its_defaults(parts):
+    text = "".join(parts).encode("utf-8", "ignore").decode()
+    assert encode(default_path(), text).tolist() == tokenizer().encode(text, add_special_tokens=False).ids
+
+
+@lru_cache
+def tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(default_path())

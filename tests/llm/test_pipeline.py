@@ -6,7 +6,7 @@ import pytest
 
 import corpus_pipeline as P
 from shelfmark.llm.common import PY_WORD
-from shelfmark.llm.tokens import default_path, encoder
+from shelfmark.llm.tokens import default_path, encode
 from tests.llm.test_lshforest import brute
 from tests.llm.test_rules import want
 
@@ -60,8 +60,7 @@ def test_mixing_takes_words_to_target(stages):
 
 
 def test_packing_places_every_token_of_the_mix(stages):
-    encode = encoder(default_path()).encode_ordinary
-    assert sum(r.length for r in stages["packing"]) == sum(len(encode(r.text)) + 1 for r in stages["mixing"])
+    assert sum(r.length for r in stages["packing"]) == sum(len(encode(default_path(), r.text)) + 1 for r in stages["mixing"])
     at = defaultdict(int)
     for r in sorted(stages["packing"], key=lambda r: (r.sequence_id, r.offset)):
         assert r.offset == at[r.sequence_id]
