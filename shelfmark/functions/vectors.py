@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,12 +38,11 @@ def finite(a: Column) -> Column:
 
 
 def mean_by(df: DataFrame, keys: list[str], vector: str, weight: Column | None = None, out: str = "vec") -> DataFrame:
-    """The element-wise (weighted) mean of each group's vectors.
+    """The element-wise (weighted) mean of each group's vectors; a row whose vector is null or has a null element is left out.
 
-    Sums are per axis, so they combine before the shuffle and no group is gathered.
+    One dense buffer a group, combined before the shuffle.
     """
+    whole = F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull())
     w = F.lit(1.0) if weight is None else weight
-    long = df.select(*keys, w.alias("_w"), F.posexplode(vector).alias("_axis", "_x"))
-    means = long.groupBy(*keys, "_axis").agg((F.sum(F.col("_x") * F.col("_w")) / F.sum("_w")).alias("_x"))
-    packed = means.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_axis", "_x"))).alias("_v"))
-    return packed.select(*keys, F.transform("_v", lambda s: s["_x"]).alias(out))
+    dense = df.where(whole).select(*keys, array_to_vector(F.col(vector)).alias("_v"), w.alias("_w"))
+    return dense.groupBy(*keys).agg(vector_to_array(Summarizer.mean(F.col("_v"), F.col("_w"))).alias(out))

@@ -40,10 +40,15 @@ def both_ways(edges: DataFrame, value: str = "pmi") -> DataFrame:
     return edges.select(F.col("book_id_a").alias("book_id"), F.col("book_id_b").alias("other"), value).unionByName(edges.select(F.col("book_id_b").alias("book_id"), F.col("book_id_a").alias("other"), value))
 
 
+def history_scores(history: DataFrame, edges: DataFrame) -> DataFrame:
+    """(user_id, book_id, score): the greatest PMI of each item with any item of the reader's history that it has a pair with."""
+    near = history.select("user_id", F.col("book_id").alias("other")).distinct().join(both_ways(edges), "other")
+    return near.groupBy("user_id", "book_id").agg(F.max("pmi").alias("score"))
+
+
 def max_pmi(cands: DataFrame, history: DataFrame, edges: DataFrame) -> DataFrame:
     """(user_id, book_id, score): the greatest PMI of a candidate with any item of the reader's history; 0 without a pair."""
-    near = history.select("user_id", F.col("book_id").alias("other")).distinct().join(both_ways(edges), "other")
-    best = near.groupBy("user_id", "book_id").agg(F.max("pmi").alias("score"))
+    best = history_scores(history, edges)
     return cands.select("user_id", "book_id").join(best, ["user_id", "book_id"], "left").select("user_id", "book_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 

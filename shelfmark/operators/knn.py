@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,40 +12,69 @@ from pyspark.sql import functions as F
 
 from shelfmark.operators.windows import top
 
-#: Queries multiplied with the table at a time; what a task holds is this block and one batch.
-BLOCK = 4096
+#: Queries multiplied with a batch of the table at a time; a task holds this block's similarities with one batch.
+BLOCK = 1024
+#: Queries sent to the executors at once; more are asked in several passes over the table.
+PASS_QUERIES = 50_000
 
 
-def neighbours(queries: DataFrame, table: DataFrame, k: int = 50) -> DataFrame:
+def _unit(x: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(n == 0, 1, n)
+
+
+def _best(sim: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k greatest of each row, ties to the lower id; -inf is none."""
+    if sim.shape[1] <= k:
+        return np.nonzero(np.isfinite(sim))
+    least = np.partition(sim, sim.shape[1] - k, axis=1)[:, -k]
+    rows, columns = np.nonzero((sim >= least[:, None]) & np.isfinite(sim))
+    tied = np.bincount(rows, minlength=len(sim)) > k
+    if tied.any():  # only rows with ties at the edge are put in order
+        free = ~tied[rows]
+        rows, columns = [rows[free]], [columns[free]]
+        for i in np.nonzero(tied)[0]:
+            order = np.lexsort((ids, -sim[i]))[:k]
+            rows.append(np.full(len(order), i))
+            columns.append(order)
+        rows, columns = np.concatenate(rows), np.concatenate(columns)
+    return rows, columns
+
+
+def neighbours(queries: DataFrame, table: DataFrame, k: int = 50, pass_queries: int = PASS_QUERIES) -> DataFrame:
     """(user_id, neighbour, similarity, rank): the k nearest others of each query by cosine; ties by id.
 
     The queries are a stated set (an evaluation cohort). They are multiplied in blocks with the batches of the table, each
-    of which gives its own k best, and a window merges those: partial top-k, then final.
+    of which gives its own k best, and a window merges those: partial top-k, then final. At most about `pass_queries` of
+    them are held at once, whatever their number: more are parted by a hash and asked in as many passes over the table.
     """
+    n = queries.count()
+    parts = max(1, -(-n // pass_queries))
+    found = [_pass(queries.where(F.pmod(F.xxhash64("user_id"), F.lit(parts)) == i) if parts > 1 else queries, table, k) for i in range(parts)]
+    return top(reduce(DataFrame.unionByName, found), k, [F.desc("similarity"), F.col("neighbour")], over=["user_id"])
+
+
+def _pass(queries: DataFrame, table: DataFrame, k: int) -> DataFrame:
     rows = queries.select("user_id", "vec").collect()
     blocks = [rows[i : i + BLOCK] for i in range(0, len(rows), BLOCK)]
-    shared = table.sparkSession.sparkContext.broadcast([([r[0] for r in b], np.array([r[1] for r in b], dtype=float)) for b in blocks])
+    shared = table.sparkSession.sparkContext.broadcast([(np.array([r[0] for r in b], dtype=object), _unit(np.array([r[1] for r in b], dtype=float))) for b in blocks])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def unit(x: np.ndarray) -> np.ndarray:
-            n = np.linalg.norm(x, axis=1, keepdims=True)
-            return x / np.where(n == 0, 1, n)
-
         for batch in batches:
             if not len(batch):
                 continue
             ids = batch["user_id"].to_numpy()
-            y = unit(np.array(batch["vec"].tolist(), dtype=float))
+            at = {name: i for i, name in enumerate(ids)}
+            y = _unit(np.array(batch["vec"].tolist(), dtype=float))
             for names, x in shared.value:
-                sim = np.round(unit(x) @ y.T, 12)
-                for i, name in enumerate(names):
-                    s = np.where(ids == name, -np.inf, sim[i])
-                    order = np.lexsort((ids, -s))[:k]
-                    order = order[np.isfinite(s[order])]
-                    yield pd.DataFrame({"user_id": name, "neighbour": ids[order], "similarity": s[order]})
-
-    found = table.select("user_id", "vec").mapInPandas(run, "user_id string, neighbour string, similarity double")
-    return top(found, k, [F.desc("similarity"), F.col("neighbour")], over=["user_id"])
+                sim = np.round(x @ y.T, 12)
+                own = [(i, at[name]) for i, name in enumerate(names) if name in at]
+                if own:
+                    sim[tuple(np.array(own).T)] = -np.inf
+                i, j = _best(sim, ids, k)
+                yield pd.DataFrame({"user_id": names[i], "neighbour": ids[j], "similarity": sim[i, j]})
+
+    return table.select("user_id", "vec").mapInPandas(run, "user_id string, neighbour string, similarity double")
 
 
 def neighbour_scores(near: DataFrame, history: DataFrame, cutoff: Column | None = None) -> DataFrame:

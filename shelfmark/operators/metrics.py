@@ -34,11 +34,11 @@ def candidate_recall(cands: DataFrame, relevant: DataFrame) -> DataFrame:
 
 
 def diversity(recs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(user_id, system, k, diversity): the mean of 1 - cosine (clipped to 0..1) over the pairs of a list; 0 below two items."""
+    """(user_id, system, k, diversity): the mean of 1 - cosine (clipped to -1..1, so up to 2) over the pairs of a list; 0 below two items."""
     keys = ["user_id", "system", "k"]
     v = recs.join(vectors.select("book_id", "vec"), "book_id").select(*keys, "rank", "vec")
     pairs = v.join(v.select(*keys, F.col("rank").alias("_r"), F.col("vec").alias("_v")), keys).where("rank < _r")
-    apart = 1 - F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine(F.col("vec"), F.col("_v"))))
+    apart = 1 - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine(F.col("vec"), F.col("_v"))))
     return v.select(*keys).distinct().join(pairs.groupBy(*keys).agg(F.avg(apart).alias("diversity")), keys, "left").select(*keys, F.coalesce("diversity", F.lit(0.0)).alias("diversity"))
 
 

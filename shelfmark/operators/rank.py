@@ -46,6 +46,7 @@ class Weights:
         return cls(**given)
 
 
+#: Items that each source gives the hybrid ranker, for one reader.
 SOURCE_LIMIT = 250
 
 
@@ -155,9 +156,21 @@ def genre_popularity_top(user_genres: DataFrame, items: DataFrame, consumed: Dat
 
 
 def random_top(users: DataFrame, items: DataFrame, consumed: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    """k unread items of each reader in a seeded pseudorandom order; the order depends on reader, item and seed alone."""
-    met = users.select("user_id").distinct().join(F.broadcast(items.select("book_id"))).join(consumed.select("user_id", "book_id").distinct(), ["user_id", "book_id"], "left_anti")
-    return top(met, k, [F.xxhash64(F.lit(seed), "user_id", "book_id"), F.col("book_id")], over=["user_id"]).select("user_id", "book_id", "rank")
+    """(user_id, book_id, rank): k unread items of each reader in a seeded pseudorandom order.
+
+    Items stand in one seeded order, read as a ring; a reader's own order is the ring from a place that its hash names, so
+    it meets the first k + reads places only, by a join on them.
+    """
+    ring = items.select("book_id").distinct()
+    n = ring.count()
+    ring = ring.withColumn("pos", F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), "book_id"), "book_id")) - 1)
+    reads = consumed.select("user_id", "book_id").distinct()
+    seen = reads.join(ring.select("book_id"), "book_id").groupBy("user_id").agg(F.count("*").alias("n_seen"))
+    want = users.select("user_id").distinct().join(seen, "user_id", "left")
+    steps = F.sequence(F.lit(0), F.least(F.lit(n), F.coalesce("n_seen", F.lit(0)) + k).cast("int") - 1)
+    want = want.where(F.lit(n > 0)).withColumn("step", F.explode(steps)).withColumn("pos", F.pmod(F.xxhash64(F.lit(seed + 1), "user_id") + F.col("step"), F.lit(max(1, n))).cast("int"))
+    met = want.join(ring, "pos").join(reads, ["user_id", "book_id"], "left_anti")
+    return top(met, k, [F.col("step")], over=["user_id"]).select("user_id", "book_id", "rank")
 
 
 def cold_start(items: DataFrame, least_pages: int = 50) -> DataFrame:

@@ -1,24 +1,45 @@
-"""The supplied tables seen as reader interactions, items, vectors and nested metadata; in Spark and in SQL."""
+"""The supplied tables seen as reader interactions, items, vectors and nested metadata; in Spark and in SQL.
+
+An item is a work: there are as many as `embeddings` has rows, and a part is an edition of the work whose number is the
+part's key modulo that count. So every part, line and vector is read, and items grow with the tables.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark.functions.vectors import without_axes
+
 GENRES = ("fantasy", "history", "mystery", "ya", "romance")
-ITEMS = 200
+#: The leading axes of a vector, which hold tabular features; taste is what is left.
+TABULAR_AXES = 6
+WORKS_SQL = "(SELECT greatest(1, count(*)) FROM embeddings)"
+_WORKS: dict[tuple[str, str], int] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def works(spark: SparkSession, sf_dir: str) -> int:
+    """The number of works; counted once in a session."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _WORKS:
+        _WORKS[at] = max(1, table(spark, sf_dir, "embeddings").count())
+    return _WORKS[at]
+
+
+def work_of(spark: SparkSession, sf_dir: str, part: str) -> Column:
+    return (F.col(part) % works(spark, sf_dir)).cast("string")
+
+
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw interactions: a line of an order is a reader's act on an item."""
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     return lines.select(
         F.col("o_custkey").cast("string").alias("user_id"),
-        (F.col("l_partkey") % ITEMS).cast("string").alias("book_id"),
+        work_of(spark, sf_dir, "l_partkey").alias("book_id"),
         F.when(F.col("l_returnflag") == "R", F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))).alias("review_id"),
         F.when(F.col("l_returnflag") == "N", F.lit(0)).otherwise(1 + F.floor((F.col("l_quantity") - 1) / 10)).cast("int").alias("rating"),
         ((F.col("l_linestatus") == "F") | (F.col("l_returnflag") == "A")).alias("is_read"),
@@ -28,7 +49,7 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-RAW = f"""raw AS (SELECT CAST(o_custkey AS VARCHAR) AS user_id, CAST(l_partkey % {ITEMS} AS VARCHAR) AS book_id,
+RAW = f"""raw AS (SELECT CAST(o_custkey AS VARCHAR) AS user_id, CAST(l_partkey % {WORKS_SQL} AS VARCHAR) AS book_id,
   CASE WHEN l_returnflag = 'R' THEN l_orderkey || '-' || l_linenumber END AS review_id,
   CAST(CASE WHEN l_returnflag = 'N' THEN 0 ELSE 1 + floor((l_quantity - 1) / 10) END AS INTEGER) AS rating,
   (l_linestatus = 'F' OR l_returnflag = 'A') AS is_read, o_orderdate AS date_added, l_shipdate AS date_updated,
@@ -36,35 +57,41 @@ RAW = f"""raw AS (SELECT CAST(o_custkey AS VARCHAR) AS user_id, CAST(l_partkey %
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each item: title, pages, year, genre flags, author and counts."""
-    part = table(spark, sf_dir, "part").withColumn("book_id", (F.col("p_partkey") % ITEMS).cast("string"))
-    flags = [F.max((F.col("p_size") % 5 == g).cast("int")).alias(f"genre_{name}") for g, name in enumerate(GENRES)]
-    first = part.where(F.col("p_partkey") < ITEMS * 2)
-    flagged = first.groupBy("book_id").agg(*flags)
-    rest = part.groupBy("book_id").agg(F.min("p_name").alias("title"), (F.min("p_size") * 20).alias("num_pages"), F.min("p_brand").alias("author"), F.min("p_type").alias("language"), F.count("*").alias("editions"))
-    return rest.join(flagged, "book_id").withColumn("publication_year", (1995 + F.col("book_id").cast("int") % 7).cast("int"))
+    """One row for each work with an edition: title, pages, year, genre flags, author and counts, of all its editions.
 
+    A work is of a genre if more than a fifth of its editions are.
+    """
+    part = table(spark, sf_dir, "part").withColumn("book_id", work_of(spark, sf_dir, "p_partkey"))
+    flags = [(5 * F.count_if(F.col("p_size") % 5 == g) > F.count("*")).cast("int").alias(f"genre_{name}") for g, name in enumerate(GENRES)]
+    of = part.groupBy("book_id").agg(F.min("p_name").alias("title"), (F.min("p_size") * 20).alias("num_pages"), F.min("p_brand").alias("author"), F.min("p_type").alias("language"), F.count("*").alias("editions"), *flags)
+    return of.withColumn("publication_year", (1995 + F.col("book_id").cast("int") % 7).cast("int"))
 
-ITEMS_SQL = f"""items AS (SELECT r.*, {', '.join(f'genre_{g}' for g in GENRES)}, CAST(1995 + CAST(r.book_id AS INTEGER) % 7 AS INTEGER) AS publication_year FROM
-  (SELECT CAST(p_partkey % {ITEMS} AS VARCHAR) AS book_id, min(p_name) AS title, min(p_size) * 20 AS num_pages, min(p_brand) AS author, min(p_type) AS language, count(*) AS editions FROM part GROUP BY 1) r
-  JOIN (SELECT CAST(p_partkey % {ITEMS} AS VARCHAR) AS book_id, {', '.join(f'max(CAST(p_size % 5 = {i} AS INTEGER)) AS genre_{g}' for i, g in enumerate(GENRES))} FROM part WHERE p_partkey < {ITEMS * 2} GROUP BY 1) f USING (book_id))"""
+
+ITEMS_SQL = f"""items AS (SELECT *, CAST(1995 + CAST(book_id AS INTEGER) % 7 AS INTEGER) AS publication_year FROM
+  (SELECT CAST(p_partkey % {WORKS_SQL} AS VARCHAR) AS book_id, min(p_name) AS title, min(p_size) * 20 AS num_pages, min(p_brand) AS author, min(p_type) AS language, count(*) AS editions,
+  {', '.join(f'CAST(5 * count(*) FILTER (p_size % 5 = {i}) > count(*) AS INTEGER) AS genre_{g}' for i, g in enumerate(GENRES))} FROM part GROUP BY 1))"""
 
 
 def _as_vectors(e: DataFrame) -> DataFrame:
     return e.select(F.col("vec_id").cast("string").alias("book_id"), F.col("embedding").cast("array<double>").alias("vec"), F.col("label").alias("cluster"), F.floor(F.col("label") / 2).cast("int").alias("macro"))
 
 
-def all_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(book_id, vec, cluster, macro) of every embedding."""
     return _as_vectors(table(spark, sf_dir, "embeddings"))
 
 
-def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """all_vectors of the ids below ITEMS alone, as VECTORS_SQL has them."""
-    return _as_vectors(table(spark, sf_dir, "embeddings").where(F.col("vec_id") < ITEMS))
+def taste(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vectors without their tabular axes: the space in which readers and items are compared."""
+    return vectors(spark, sf_dir).withColumn("vec", without_axes(F.col("vec"), TABULAR_AXES))
+
+
+def _vectors_sql(embedding: str) -> str:
+    return f"""vectors AS (SELECT CAST(vec_id AS VARCHAR) AS book_id, CAST({embedding} AS DOUBLE[]) AS vec, label AS cluster, CAST(label // 2 AS INTEGER) AS macro FROM embeddings)"""
 
 
-VECTORS_SQL = f"""vectors AS (SELECT CAST(vec_id AS VARCHAR) AS book_id, CAST(embedding AS DOUBLE[]) AS vec, label AS cluster, CAST(label // 2 AS INTEGER) AS macro FROM embeddings WHERE vec_id < {ITEMS})"""
+VECTORS_SQL = _vectors_sql("embedding")
+TASTE_SQL = _vectors_sql(f"embedding[{TABULAR_AXES + 1}:]")
 
 
 def clean_sql() -> str:

@@ -117,9 +117,9 @@ def cur_core(spark, sf):
     return C.k_core(best(spark, sf).select("interaction_key", "user_id", "book_id"), 30, 35)
 
 
-@query("cur_best_book", "SELECT CAST(p_partkey % 200 AS VARCHAR) AS book_id, arg_max(p_name, (p_size, p_retailprice, -p_partkey)) AS title, max(p_size) AS ratings_count FROM part GROUP BY 1")
+@query("cur_best_book", f"SELECT CAST(p_partkey % {fx.WORKS_SQL} AS VARCHAR) AS book_id, arg_max(p_name, (p_size, p_retailprice, -p_partkey)) AS title, max(p_size) AS ratings_count FROM part GROUP BY 1")
 def cur_books(spark, sf):
-    b = fx.table(spark, sf, "part").select((F.col("p_partkey") % 200).cast("string").alias("book_id"), F.col("p_name").alias("title"), F.col("p_size").alias("ratings_count"), F.col("p_retailprice").alias("text_reviews_count"), F.col("p_partkey").alias("source_ord"))
+    b = fx.table(spark, sf, "part").select(fx.work_of(spark, sf, "p_partkey").alias("book_id"), F.col("p_name").alias("title"), F.col("p_size").alias("ratings_count"), F.col("p_retailprice").alias("text_reviews_count"), F.col("p_partkey").alias("source_ord"))
     return C.best_book(b).select("book_id", "title", "ratings_count")
 
 
@@ -128,10 +128,10 @@ def cur_last(spark, sf):
     return C.last_by(fx.raw(spark, sf), ["user_id", "book_id"], "date_updated", tie()).select("user_id", "book_id", "date_updated")
 
 
-@query("cur_merge_master", "SELECT CAST(p_partkey % 200 AS VARCHAR) AS book_id, max(CAST(p_size % 5 = 0 AS INTEGER)) AS genre_fantasy, max(CAST(p_size % 5 = 1 AS INTEGER)) AS genre_history, arg_min(p_name, p_partkey) AS title, arg_min(p_brand, p_partkey) FILTER (p_size > 10) AS author FROM part GROUP BY 1")
+@query("cur_merge_master", f"SELECT CAST(p_partkey % {fx.WORKS_SQL} AS VARCHAR) AS book_id, max(CAST(p_size % 5 = 0 AS INTEGER)) AS genre_fantasy, max(CAST(p_size % 5 = 1 AS INTEGER)) AS genre_history, arg_min(p_name, p_partkey) AS title, arg_min(p_brand, p_partkey) FILTER (p_size > 10) AS author FROM part GROUP BY 1")
 def cur_master(spark, sf):
     p = fx.table(spark, sf, "part")
-    b = p.select((F.col("p_partkey") % 200).cast("string").alias("book_id"), (F.col("p_size") % 5 == 0).cast("int").alias("genre_fantasy"), (F.col("p_size") % 5 == 1).cast("int").alias("genre_history"), F.col("p_name").alias("title"), F.when(F.col("p_size") > 10, F.col("p_brand")).alias("author"), F.col("p_partkey").alias("source_ord"))
+    b = p.select(fx.work_of(spark, sf, "p_partkey").alias("book_id"), (F.col("p_size") % 5 == 0).cast("int").alias("genre_fantasy"), (F.col("p_size") % 5 == 1).cast("int").alias("genre_history"), F.col("p_name").alias("title"), F.when(F.col("p_size") > 10, F.col("p_brand")).alias("author"), F.col("p_partkey").alias("source_ord"))
     return C.merge_master(b, ["genre_fantasy", "genre_history"])
 
 

@@ -11,7 +11,6 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.functions.text import title_key
 from shelfmark.operators import metrics, rank, retrieve, temporal, users, windows
 from shelfmark.plans import fixtures as fx
 from shelfmark.plans.q_curation import best
@@ -66,13 +65,13 @@ def baseline(spark, sf):
 
 def content(spark, sf):
     c, modes = cands(spark, sf)
-    rel = retrieve.relevance(c, modes, fx.vectors(spark, sf))
+    rel = retrieve.relevance(c, modes, fx.taste(spark, sf))
     return at_ks(windows.top(rel, 10, [F.desc(F.round("relevance", 9)), F.col("book_id")], over=["user_id"]), "content_only")
 
 
 def grid(spark, sf):
-    sig = written(signals(spark, sf), "grid-signals")
-    titles = fx.items(spark, sf).select("book_id", title_key("title").alias("title_key"))
+    sig, titles = signals(spark, sf)
+    sig = written(sig, "grid-signals")
     runs = [at_ks(rank.hybrid(sig, w, titles, 10), f"content={w.content},popularity={w.popularity}") for w in GRID]
     return metrics.full_summary(written(union([baseline(spark, sf), content(spark, sf), *runs]), "lists"), relevant(spark, sf), segmented(spark, sf))
 
@@ -89,7 +88,7 @@ def exp_grid_winner(spark, sf):
 
 def collaborative_ab(spark, sf):
     c, modes, score = collaborative(spark, sf)
-    rel = retrieve.relevance(c, modes, fx.vectors(spark, sf)).withColumnRenamed("relevance", "content")
+    rel = retrieve.relevance(c, modes, fx.taste(spark, sf)).withColumnRenamed("relevance", "content")
     both = written(rel.join(score.withColumnRenamed("score", "collaborative"), ["user_id", "book_id"]), "ab-pool")
     runs = [at_ks(windows.top(rank.blend(both, a), 10, [F.desc(F.round("blend", 9)), F.col("book_id")], over=["user_id"]), f"cooccurrence_alpha={a:.1f}") for a in ALPHAS]
     return metrics.full_summary(written(union([baseline(spark, sf), content(spark, sf), *runs]), "lists"), relevant(spark, sf), segmented(spark, sf))
@@ -109,7 +108,7 @@ def exp_ab_winner(spark, sf):
 def exp_ablation(spark, sf):
     """Twelve settings: one at a time from the default, some crossed, and retrieval for each mode."""
     modes = single_modes(spark, sf)
-    centres = retrieve.centroids(fx.vectors(spark, sf))
+    centres = retrieve.centroids(fx.taste(spark, sf))
     wide = retrieve.pooled_clusters(modes, centres, 20).withColumnRenamed("rank", "cluster_rank")
     full = written(pool(spark, sf, wide), "ablation-pool")
     ranks = written(wide.select("user_id", "cluster", "cluster_rank"), "ablation-clusters")
@@ -161,16 +160,16 @@ def exp_rule(spark, sf):
 
 def _items(spark, sf):
     from shelfmark.operators.recommend import with_segments
-    from shelfmark.plans.q_ranking import FLAGS, catalog
+    from shelfmark.plans.q_ranking import FLAGS, taste_catalog
 
-    return with_segments(catalog(spark, sf).withColumn("genres", F.array(*[F.col(f) == 1 for f in FLAGS])), popularity(train(spark, sf)))
+    return with_segments(taste_catalog(spark, sf).withColumn("genres", F.array(*[F.col(f) == 1 for f in FLAGS])), popularity(train(spark, sf)))
 
 
 def _profiles(spark, sf):
     from shelfmark.operators.recommend import profiles
     from shelfmark.plans.q_ranking import with_duration
 
-    v = fx.vectors(spark, sf)
+    v = fx.taste(spark, sf)
     return profiles(with_duration(train(spark, sf)), v, retrieve.centroids(v))
 
 
@@ -185,7 +184,7 @@ def _routed(spark, sf):
     known = written(_profiles(spark, sf), "profiles")
     guests = spark.createDataFrame([("seeded", "3"), ("seeded", "14"), ("cold", None)], "user_id string, book_id string")
     readers = known.select("user_id").unionByName(guests.select("user_id"))
-    return routed(readers, known, guests.dropna(), _items(spark, sf), fx.vectors(spark, sf), read(spark, sf), rank.Config())
+    return routed(readers, known, guests.dropna(), _items(spark, sf), fx.taste(spark, sf), read(spark, sf), rank.Config())
 
 
 @query("rec_routed")
@@ -216,8 +215,7 @@ def eva_cohort(spark, sf):
     return b.join(user_features(b, 40).where("valid").select("user_id"), "user_id", "left_semi").select("interaction_key", "user_id")
 
 
-@query("eda_series_profile", "SELECT CAST(n AS INTEGER) AS n_series, count(*) AS books, median(size) AS median_size FROM (SELECT p_partkey % 200 AS g, count(DISTINCT p_type) AS n, CAST(sum(p_size) AS DOUBLE) AS size FROM part WHERE p_partkey < 800 GROUP BY 1) GROUP BY 1")
+@query("eda_series_profile", f"SELECT CAST(n AS INTEGER) AS n_series, count(*) AS books, median(size) AS median_size FROM (SELECT p_partkey % {fx.WORKS_SQL} AS g, count(DISTINCT p_type) AS n, CAST(sum(p_size) AS DOUBLE) AS size FROM part GROUP BY 1) GROUP BY 1")
 def eda_series(spark, sf):
-    p = fx.table(spark, sf, "part").where("p_partkey < 800")
-    g = p.groupBy(F.col("p_partkey") % 200).agg(F.size(F.collect_set("p_type")).alias("n_series"), F.sum("p_size").cast("double").alias("size"))
+    g = fx.table(spark, sf, "part").groupBy(fx.work_of(spark, sf, "p_partkey")).agg(F.size(F.collect_set("p_type")).alias("n_series"), F.sum("p_size").cast("double").alias("size"))
     return g.groupBy("n_series").agg(F.count("*").alias("books"), F.percentile("size", F.lit(0.5)).alias("median_size"))

@@ -178,11 +178,11 @@ def eda_scatter(spark, sf):
 
 # nested metadata, made of the part table
 
-_PARTS = "SELECT p_partkey % 200 AS g, p_partkey, p_brand, p_type, p_name, p_size FROM part WHERE p_partkey < 800"
+_PARTS = f"SELECT p_partkey % {fx.WORKS_SQL} AS g, p_partkey, p_brand, p_type, p_name, p_size FROM part"
 
 
 def nested(spark, sf):
-    p = fx.table(spark, sf, "part").where("p_partkey < 800").withColumn("book_id", (F.col("p_partkey") % 200).cast("string"))
+    p = fx.table(spark, sf, "part").withColumn("book_id", fx.work_of(spark, sf, "p_partkey"))
     author = F.struct(F.col("p_partkey").alias("o"), F.when(F.col("p_size") % 7 != 0, F.col("p_brand")).alias("author_id"), F.when(F.col("p_size") % 2 == 0, F.lit("")).otherwise(F.lit("Editor")).alias("role"))
     shelf = F.struct(F.col("p_partkey").alias("o"), F.when(F.col("p_size") % 5 == 0, F.lit("to-read")).otherwise(F.col("p_type")).alias("name"), F.col("p_size").cast("long").alias("count"))
     g = p.groupBy("book_id").agg(F.sort_array(F.collect_list(author)).alias("a"), F.sort_array(F.collect_list(shelf)).alias("s"))
@@ -303,10 +303,10 @@ def featured(spark, sf):
     return i.join(r, "book_id", "left").withColumn("num_pages", F.when(F.col("num_pages") > 40, F.col("num_pages"))).withColumn("author_count", F.lit(1))
 
 
-@query("fea_numeric_block", f"WITH {BEST}, {fx.ITEMS_SQL}, f AS (SELECT i.* REPLACE (CASE WHEN num_pages > 40 THEN num_pages END AS num_pages), average_rating, ratings_count, reviews_count FROM items i LEFT JOIN (SELECT book_id, avg(rating_clean) AS average_rating, count(rating_clean) AS ratings_count, count(*) FILTER (has_review_text) AS reviews_count FROM best GROUP BY 1) USING (book_id)) SELECT book_id, round(coalesce(average_rating, (SELECT median(average_rating) FROM f)), 6) AS x0, round(ln(1 + coalesce(ratings_count, 0)), 6) AS x1, round(coalesce(num_pages, (SELECT median(num_pages) FROM f)), 6) AS x3, CAST(num_pages IS NULL AS DOUBLE) AS x4, CAST({' + '.join(f'genre_{g}' for g in fx.GENRES)} AS DOUBLE) AS x8 FROM f".replace("CAST(num_pages IS NULL AS DOUBLE)", "CASE WHEN num_pages IS NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"))
+@query("fea_numeric_block", f"WITH {BEST}, {fx.ITEMS_SQL}, f AS (SELECT i.* REPLACE (CASE WHEN num_pages > 40 THEN num_pages END AS num_pages), average_rating, ratings_count, reviews_count FROM items i LEFT JOIN (SELECT book_id, avg(rating_clean) AS average_rating, count(rating_clean) AS ratings_count, count(*) FILTER (has_review_text) AS reviews_count FROM best GROUP BY 1) USING (book_id)) SELECT book_id, round(coalesce(average_rating, (SELECT median(average_rating) FROM f)), 6) AS x0, round(ln(1 + coalesce(ratings_count, 0)), 6) AS x1, round(ln(1 + coalesce(reviews_count, 0)), 6) AS x2, round(coalesce(num_pages, (SELECT median(num_pages) FROM f)), 6) AS x3, CAST(num_pages IS NULL AS DOUBLE) AS x4, CAST(publication_year AS DOUBLE) AS x5, 0.0::DOUBLE AS x6, 1.0::DOUBLE AS x7, CAST({' + '.join(f'genre_{g}' for g in fx.GENRES)} AS DOUBLE) AS x8 FROM f".replace("CAST(num_pages IS NULL AS DOUBLE)", "CASE WHEN num_pages IS NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"))
 def fea_numeric(spark, sf):
     n = features.numeric_block(featured(spark, sf), FLAGS)
-    return n.select("book_id", *[F.round(F.col("num")[i], 6).alias(f"x{i}") for i in (0, 1, 3, 4, 8)])
+    return n.select("book_id", *[F.round(F.col("num")[i], 6).alias(f"x{i}") for i in range(9)])
 
 
 @query("fea_binary_block", f"WITH {fx.ITEMS_SQL}, l AS (SELECT *, regexp_replace(lower(trim(language)), '[^0-9a-z]+', '_', 'g') AS v FROM items), t AS (SELECT v, row_number() OVER (ORDER BY count(*) DESC, v) AS r FROM l WHERE v NOT IN ('', 'other') GROUP BY 1 QUALIFY r <= 3) SELECT book_id, {', '.join(f'CAST(genre_{g} AS DOUBLE) AS b{i}' for i, g in enumerate(fx.GENRES))}, {', '.join(f'CASE WHEN v = (SELECT v FROM t WHERE r = {k}) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS h{k}' for k in (1, 2, 3))}, CASE WHEN v IN (SELECT v FROM t) THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS other FROM l")
@@ -315,17 +315,18 @@ def fea_binary(spark, sf):
     return b.select("book_id", *[F.col("bin")[i].alias(f"b{i}") for i in range(5)], *[F.col("bin")[4 + k].alias(f"h{k}") for k in (1, 2, 3)], F.col("bin")[8].alias("other"))
 
 
-@query("fea_scaled_block", f"WITH {fx.VECTORS_SQL} SELECT book_id, round((vec[1] - (SELECT avg(vec[1]) FROM vectors)) / (SELECT stddev_pop(vec[1]) FROM vectors) / 8, 5) AS z0, round((vec[64] - (SELECT avg(vec[64]) FROM vectors)) / (SELECT stddev_pop(vec[64]) FROM vectors) / 8, 5) AS z63 FROM vectors")
+@query("fea_scaled_block", f"WITH {fx.VECTORS_SQL} SELECT book_id, CAST(axis - 1 AS INTEGER) AS axis, round((x - avg(x) OVER (PARTITION BY axis)) / stddev_pop(x) OVER (PARTITION BY axis) / 8, 5) AS z FROM (SELECT book_id, axis, vec[axis] AS x FROM vectors, (SELECT unnest(range(1, 65)) AS axis))")
 def fea_scaled(spark, sf):
     s = features.scaled_block(fx.vectors(spark, sf), "vec", "z")
-    return s.select("book_id", F.round(F.col("z")[0], 5).alias("z0"), F.round(F.col("z")[63], 5).alias("z63"))
+    return s.select("book_id", F.posexplode("z").alias("axis", "z")).withColumn("z", F.round("z", 5))
 
 
 @query("fea_pca_projection")
 def fea_pca(spark, sf):
     f = featured(spark, sf)
     blocks = [(features.numeric_block(f, FLAGS), "num"), (features.binary_block(f, FLAGS, "language", 3), "bin"), (fx.vectors(spark, sf).select("book_id", "vec"), "vec")]
-    joined = features.joined_blocks(blocks)
+    whole = catalog(spark, sf).select("book_id")
+    joined = features.joined_blocks([(b.join(whole, "book_id", "left_semi"), c) for b, c in blocks])
     components, _ = features.fit_pca(joined)
     return features.project(joined, components).select("book_id", F.size("vec").alias("n"), F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
 
@@ -336,9 +337,9 @@ def fea_spot(spark, sf):
     return s.select("genre", r6("near"), r6("far"))
 
 
-@query("int_genre_centroids", f"WITH {fx.ITEMS_SQL}, {fx.VECTORS_SQL} " + " UNION ALL ".join(f"SELECT '{g}' AS genre, CAST(axis - 1 AS INTEGER) AS axis, round(avg(vec[axis]), 6) AS mean FROM (SELECT vec, unnest([1, 2]) AS axis FROM items JOIN vectors USING (book_id) WHERE {g} = 1) GROUP BY 2" for g in FLAGS))
+@query("int_genre_centroids", f"WITH {fx.ITEMS_SQL}, {fx.VECTORS_SQL} " + " UNION ALL ".join(f"SELECT '{g}' AS genre, CAST(axis - 1 AS INTEGER) AS axis, round(avg(vec[axis]), 6) AS mean FROM (SELECT vec, unnest(range(1, 65)) AS axis FROM items JOIN vectors USING (book_id) WHERE {g} = 1) GROUP BY 2" for g in FLAGS))
 def int_centroids(spark, sf):
-    return features.genre_centroids(catalog(spark, sf), FLAGS).where("axis < 2").select("genre", "axis", r6("mean"))
+    return features.genre_centroids(catalog(spark, sf), FLAGS).select("genre", "axis", r6("mean"))
 
 
 @query("cch_missing_vectors", f"WITH {fx.ITEMS_SQL}, {fx.VECTORS_SQL} SELECT book_id, CAST(book_id AS INTEGER) < 150 AS cached FROM items")
@@ -387,18 +388,18 @@ def clu_macro(spark, sf):
 
 @query("clu_ward_macros")
 def clu_ward(spark, sf):
-    return cluster.macros(retrieve.centroids(fx.all_vectors(spark, sf)), 4)
+    return cluster.macros(retrieve.centroids(fx.vectors(spark, sf)), 4)
 
 
 @query("clu_kmeans")
 def clu_kmeans(spark, sf):
-    v = fx.all_vectors(spark, sf)
+    v = fx.vectors(spark, sf)
     return cluster.assign(v, cluster.centres_of(spark, cluster.fit_kmeans(v, 10)))
 
 
 @query("clu_compare_k")
 def clu_compare(spark, sf):
-    return cluster.compare_k(fx.all_vectors(spark, sf), [5, 10])
+    return cluster.compare_k(fx.vectors(spark, sf), [5, 10])
 
 
 @query("clu_group_terms", f"WITH {fx.ITEMS_SQL}, v AS (SELECT author AS grp, unnest(string_split(array_to_string(list_filter([{', '.join(f'''CASE WHEN genre_{g} = 1 THEN '{g}' END''' for g in fx.GENRES)}], lambda x: x IS NOT NULL), '|'), '|')) AS genre FROM items), c AS (SELECT grp, genre, count(*) AS n FROM v WHERE genre <> '' GROUP BY 1, 2) SELECT grp AS author, genre, n, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY n DESC, genre) AS rank FROM c) WHERE rank <= 2")

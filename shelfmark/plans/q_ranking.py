@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.text import days_between, title_key
@@ -10,6 +13,7 @@ from shelfmark.operators import cooc, habits, knn, metrics, rank, retrieve, temp
 from shelfmark.operators import curation as C
 from shelfmark.plans import fixtures as fx
 from shelfmark.plans.q_curation import best
+from shelfmark.store import written
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -52,6 +56,10 @@ def catalog(spark, sf):
     return fx.items(spark, sf).join(fx.vectors(spark, sf), "book_id")
 
 
+def taste_catalog(spark, sf):
+    return fx.items(spark, sf).join(fx.taste(spark, sf), "book_id")
+
+
 # windows, sorting
 
 
@@ -161,12 +169,12 @@ def arr_vectors(spark, sf):
     return v.join(F.broadcast(one)).select("book_id", r6(cosine(F.col("vec"), F.col("o")), "cos"), r6(norm(F.col("vec")), "len"), r6(norm(without_axes(F.col("vec"), 6)), "tail_len"), r6(norm(unit(F.col("vec"))), "unit_len"))
 
 
-@query("usr_taste_vectors", f"WITH {POS}, {fx.VECTORS_SQL}, l AS (SELECT user_id, vec, unnest([1, 2, 64]) AS axis FROM pos JOIN vectors USING (book_id)) SELECT user_id, CAST(axis - 1 AS INTEGER) AS axis, round(avg(vec[axis]), 5) AS x FROM l GROUP BY 1, 2")
+@query("usr_taste_vectors", f"WITH {POS}, {fx.VECTORS_SQL}, l AS (SELECT user_id, vec, unnest(range(1, 65)) AS axis FROM pos JOIN vectors USING (book_id)) SELECT user_id, CAST(axis - 1 AS INTEGER) AS axis, round(avg(vec[axis]), 5) AS x FROM l GROUP BY 1, 2")
 def usr_taste(spark, sf):
     p = best(spark, sf).dropDuplicates(["user_id", "book_id", "is_read", "rating_clean"])
     pos = users.positives(p).select("user_id", "book_id", "is_read", "rating_clean").dropDuplicates(["user_id", "book_id"])
     t = users.taste_vectors(pos, fx.vectors(spark, sf))
-    return t.select("user_id", F.posexplode("vec").alias("axis", "x")).where("axis in (0, 1, 63)").select("user_id", "axis", F.round("x", 5).alias("x"))
+    return t.select("user_id", F.posexplode("vec").alias("axis", "x")).select("user_id", "axis", F.round("x", 5).alias("x"))
 
 
 @query("usr_meta", f"WITH {BEST}, {fx.ITEMS_SQL}, g AS (SELECT b.*, {', '.join(FLAGS)}, (is_read AND coalesce(rating_clean >= 4, false)) AS p FROM best b LEFT JOIN items USING (book_id)) SELECT user_id, count(*) AS n_interactions, count(*) FILTER (p) AS n_positives, count(*) FILTER (has_review_text) AS n_reviews, count(*) FILTER (engagement_mode = 'want_to_read') AS n_want_to_read, max(date_added) AS last_date, {' + '.join(f'coalesce(max({f}) FILTER (p), 0)' for f in FLAGS)} AS genre_breadth, round(coalesce(avg(rating_clean) - (SELECT avg(rating_clean) FROM best), 0), 6) AS bias, count(*) FILTER (p) < 3 AS cold_start FROM g GROUP BY 1")
@@ -197,13 +205,13 @@ def usr_modes(spark, sf):
 
 def single_modes(spark, sf, df=None):
     """One mode a reader, from what was known at the cut."""
-    t = users.taste_vectors(train(spark, sf) if df is None else df, fx.vectors(spark, sf))
+    t = users.taste_vectors(train(spark, sf) if df is None else df, fx.taste(spark, sf))
     return t.select("user_id", F.lit(0).alias("mode"), F.lit(1.0).alias("weight"), "vec")
 
 
-_TASTE = TRAIN + f""", {fx.ITEMS_SQL}, {fx.VECTORS_SQL}, tp AS (SELECT user_id, vec FROM train JOIN vectors USING (book_id) WHERE is_read AND rating_clean >= 4),
-taste AS (SELECT user_id, list(x ORDER BY axis) AS vec FROM (SELECT user_id, axis, avg(vec[axis]) AS x FROM tp, (SELECT unnest(range(1, 65)) AS axis) GROUP BY 1, 2) GROUP BY 1),
-centre AS (SELECT cluster, list(x ORDER BY axis) AS vec FROM (SELECT cluster, axis, avg(vec[axis]) AS x FROM vectors, (SELECT unnest(range(1, 65)) AS axis) GROUP BY 1, 2) GROUP BY 1),
+_TASTE = TRAIN + f""", {fx.ITEMS_SQL}, {fx.TASTE_SQL}, tp AS (SELECT user_id, vec FROM train JOIN vectors USING (book_id) WHERE is_read AND rating_clean >= 4),
+taste AS (SELECT user_id, list(x ORDER BY axis) AS vec FROM (SELECT user_id, axis, avg(vec[axis]) AS x FROM tp, (SELECT unnest(range(1, 59)) AS axis) GROUP BY 1, 2) GROUP BY 1),
+centre AS (SELECT cluster, list(x ORDER BY axis) AS vec FROM (SELECT cluster, axis, avg(vec[axis]) AS x FROM vectors, (SELECT unnest(range(1, 59)) AS axis) GROUP BY 1, 2) GROUP BY 1),
 near AS (SELECT user_id, cluster, list_cosine_similarity(t.vec, c.vec) AS score FROM taste t, centre c),
 picked AS (SELECT user_id, cluster, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, cluster) AS rank FROM near) WHERE rank <= 5),
 consumed AS (SELECT DISTINCT user_id, book_id FROM train WHERE is_read),
@@ -211,10 +219,10 @@ cand AS (SELECT user_id, book_id FROM picked JOIN vectors USING (cluster) ANTI J
 rel AS (SELECT user_id, book_id, list_cosine_similarity(t.vec, v.vec) AS relevance FROM cand JOIN taste t USING (user_id) JOIN vectors v USING (book_id))"""
 
 
-@query("usr_sparse_shrinkage", f"WITH {_TASTE}, m AS (SELECT user_id, cluster FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, cluster) AS r FROM near) WHERE r = 1) SELECT user_id, cluster, round((t.vec[1] + c.vec[1]) / 2, 5) AS x0 FROM m JOIN taste t USING (user_id) JOIN centre c USING (cluster)")
+@query("usr_sparse_shrinkage", f"WITH {_TASTE}, m AS (SELECT user_id, cluster FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, cluster) AS r FROM near) WHERE r = 1) SELECT user_id, cluster, CAST(axis - 1 AS INTEGER) AS axis, round((tv[axis] + cv[axis]) / 2, 5) AS x FROM (SELECT user_id, cluster, t.vec AS tv, c.vec AS cv, unnest(range(1, 59)) AS axis FROM m JOIN taste t USING (user_id) JOIN centre c USING (cluster))")
 def usr_shrunk(spark, sf):
-    s = users.shrunk(single_modes(spark, sf), retrieve.centroids(fx.vectors(spark, sf)))
-    return s.select("user_id", "cluster", F.round(F.col("vec")[0], 5).alias("x0"))
+    s = users.shrunk(single_modes(spark, sf), retrieve.centroids(fx.taste(spark, sf)))
+    return s.select("user_id", "cluster", F.posexplode("vec").alias("axis", "x")).withColumn("x", F.round("x", 5))
 
 
 @query("usr_seed_profile", f"WITH {fx.VECTORS_SQL} SELECT CAST(axis - 1 AS INTEGER) AS axis, round(avg(vec[axis]), 6) AS x FROM (SELECT vec, unnest(range(1, 65)) AS axis FROM vectors WHERE book_id IN ('3', '14', '159')) GROUP BY 1")
@@ -250,8 +258,8 @@ collab AS (SELECT user_id, book_id, coalesce(max(pmi), 0) AS score FROM cand LEF
 def cands(spark, sf):
     t = train(spark, sf)
     modes = single_modes(spark, sf, t)
-    cl = retrieve.pooled_clusters(modes, retrieve.centroids(fx.vectors(spark, sf)))
-    return retrieve.candidates(cl, fx.vectors(spark, sf), t.where("is_read")), modes
+    cl = retrieve.pooled_clusters(modes, retrieve.centroids(fx.taste(spark, sf)))
+    return retrieve.candidates(cl, fx.taste(spark, sf), t.where("is_read")), modes
 
 
 def collaborative(spark, sf):
@@ -277,7 +285,7 @@ def _pct(c: str) -> str:
 @query("coo_percentile_blend", f"WITH {_COLLAB}, j AS (SELECT user_id, book_id, round(relevance, 7) AS content, round(score, 7) AS collaborative FROM rel JOIN collab USING (user_id, book_id)) SELECT user_id, book_id, round(0.7 * {_pct('content')} + 0.3 * {_pct('collaborative')} + 1e-9, 5) AS blend FROM j")
 def coo_blend(spark, sf):
     c, modes, score = collaborative(spark, sf)
-    rel = retrieve.relevance(c, modes, fx.vectors(spark, sf))
+    rel = retrieve.relevance(c, modes, fx.taste(spark, sf))
     pool = rel.join(score, ["user_id", "book_id"]).select("user_id", "book_id", F.round("relevance", 7).alias("content"), F.round("score", 7).alias("collaborative"))
     return rank.blend(pool, 0.7).select("user_id", "book_id", F.round(F.col("blend") + 1e-9, 5).alias("blend"))
 
@@ -308,25 +316,25 @@ def knn_scores(spark, sf):
 
 @query("ret_pooled_clusters", f"WITH {_TASTE} SELECT user_id, cluster, rank FROM picked")
 def ret_pooled(spark, sf):
-    return retrieve.pooled_clusters(single_modes(spark, sf), retrieve.centroids(fx.vectors(spark, sf))).select("user_id", "cluster", "rank")
+    return retrieve.pooled_clusters(single_modes(spark, sf), retrieve.centroids(fx.taste(spark, sf))).select("user_id", "cluster", "rank")
 
 
 def two_modes(spark, sf):
-    """Two modes a reader: the taste of all positives, and of items of the lower half of the catalogue."""
+    """Two modes a reader: the taste of all positives, and of those that it wrote about."""
     t = train(spark, sf)
-    low = users.taste_vectors(t.where("cast(book_id as int) < 100"), fx.vectors(spark, sf))
+    low = users.taste_vectors(t.where("has_review_text"), fx.taste(spark, sf))
     both = single_modes(spark, sf, t).select("user_id", "mode", F.lit(0.6).alias("weight"), "vec")
     return both.unionByName(low.select("user_id", F.lit(1).alias("mode"), F.lit(0.4).alias("weight"), "vec"))
 
 
-@query("ret_interleaved_clusters", f"""WITH {_TASTE}, lp AS (SELECT user_id, vec FROM train JOIN vectors USING (book_id) WHERE is_read AND rating_clean >= 4 AND CAST(book_id AS INTEGER) < 100),
-low AS (SELECT user_id, list(x ORDER BY axis) AS vec FROM (SELECT user_id, axis, avg(vec[axis]) AS x FROM lp, (SELECT unnest(range(1, 65)) AS axis) GROUP BY 1, 2) GROUP BY 1),
+@query("ret_interleaved_clusters", f"""WITH {_TASTE}, lp AS (SELECT user_id, vec FROM train JOIN vectors USING (book_id) WHERE is_read AND rating_clean >= 4 AND has_review_text),
+low AS (SELECT user_id, list(x ORDER BY axis) AS vec FROM (SELECT user_id, axis, avg(vec[axis]) AS x FROM lp, (SELECT unnest(range(1, 59)) AS axis) GROUP BY 1, 2) GROUP BY 1),
 lanes AS (SELECT user_id, 0 AS lane, cluster, 0.6 * list_cosine_similarity(t.vec, c.vec) AS s FROM taste t, centre c UNION ALL SELECT user_id, 1, cluster, 0.4 * list_cosine_similarity(t.vec, c.vec) FROM low t, centre c),
 r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, lane ORDER BY round(s, 9) DESC, cluster) AS rk FROM lanes) WHERE rk <= 4),
 sp AS (SELECT user_id, cluster, min(spot) AS spot FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY rk, lane) AS spot FROM r) GROUP BY 1, 2)
 SELECT user_id, cluster, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY spot) AS rank FROM sp) WHERE rank <= 4""")
 def ret_interleaved(spark, sf):
-    return retrieve.interleaved_clusters(two_modes(spark, sf), retrieve.centroids(fx.vectors(spark, sf)), 4).select("user_id", "cluster", "rank")
+    return retrieve.interleaved_clusters(two_modes(spark, sf), retrieve.centroids(fx.taste(spark, sf)), 4).select("user_id", "cluster", "rank")
 
 
 @query("ret_candidates", f"WITH {_TASTE} SELECT user_id, count(*) AS n FROM cand GROUP BY 1")
@@ -342,7 +350,7 @@ def ret_consumed(spark, sf):
 @query("rnk_relevance", f"WITH {_TASTE} SELECT user_id, book_id, round(relevance, 6) AS relevance FROM rel")
 def rnk_relevance(spark, sf):
     c, modes = cands(spark, sf)
-    return retrieve.relevance(c, modes, fx.vectors(spark, sf)).select("user_id", "book_id", r6("relevance"))
+    return retrieve.relevance(c, modes, fx.taste(spark, sf)).select("user_id", "book_id", r6("relevance"))
 
 
 @query("rnk_access", f"WITH {fx.ITEMS_SQL}, x AS (SELECT author, book_id, num_pages >= 50 AS ok, CASE WHEN num_pages >= 50 THEN ln(1 + num_pages) END AS l FROM items) SELECT book_id, round(CASE WHEN NOT ok THEN 0 WHEN min(l) OVER (PARTITION BY author) = max(l) OVER (PARTITION BY author) THEN 1 ELSE (max(l) OVER (PARTITION BY author) - l) / (max(l) OVER (PARTITION BY author) - min(l) OVER (PARTITION BY author)) END, 6) AS access FROM x")
@@ -354,10 +362,10 @@ def pool(spark, sf, clusters=None):
     """Each reader's candidates with all that ranking needs; of other clusters where given."""
     c, modes = cands(spark, sf)
     if clusters is not None:
-        c = retrieve.candidates(clusters, fx.vectors(spark, sf), train(spark, sf).where("is_read"))
-    rel = retrieve.relevance(c, modes, fx.vectors(spark, sf))
+        c = retrieve.candidates(clusters, fx.taste(spark, sf), train(spark, sf).where("is_read"))
+    rel = retrieve.relevance(c, modes, fx.taste(spark, sf))
     seg = windows.popularity_segments(popularity(train(spark, sf)), "n").select("book_id", "segment")
-    i = catalog(spark, sf).join(seg, "book_id", "left").select("book_id", "vec", "cluster", "macro", F.coalesce("segment", F.lit("unknown")).alias("segment"), F.array(*[F.col(f) == 1 for f in FLAGS]).alias("genres"))
+    i = taste_catalog(spark, sf).join(seg, "book_id", "left").select("book_id", "vec", "cluster", "macro", F.coalesce("segment", F.lit("unknown")).alias("segment"), F.array(*[F.col(f) == 1 for f in FLAGS]).alias("genres"))
     return rel.join(i, "book_id")
 
 
@@ -384,15 +392,17 @@ _BAS = TRAIN + f""", {fx.ITEMS_SQL}, pop AS (SELECT i.book_id, ln(1 + coalesce(n
 us AS (SELECT user_id, bit_or(CASE WHEN p THEN mask ELSE 0 END) AS umask FROM (SELECT user_id, mask, is_read AND coalesce(rating_clean >= 4, false) AS p FROM train JOIN pop USING (book_id)) GROUP BY 1)"""
 
 
-def popular_items(spark, sf):
+def popular_items(spark, sf, t=None):
+    t = train(spark, sf) if t is None else t
     mask = sum((F.col(f) * (1 << i) for i, f in enumerate(FLAGS)), F.lit(0))
-    return fx.items(spark, sf).withColumn("mask", mask.cast("int")).join(popularity(train(spark, sf)), "book_id", "left").select("book_id", "mask", F.coalesce("n", F.lit(0)).alias("n"), "mean_rating", "title")
+    return fx.items(spark, sf).withColumn("mask", mask.cast("int")).join(popularity(t), "book_id", "left").select("book_id", "mask", F.coalesce("n", F.lit(0)).alias("n"), "mean_rating", "title")
 
 
-def user_masks(spark, sf):
-    t = train(spark, sf)
+def user_masks(spark, sf, t=None, items=None):
+    t = train(spark, sf) if t is None else t
+    items = popular_items(spark, sf, t) if items is None else items
     pos = F.coalesce("is_read", F.lit(False)) & F.coalesce(F.col("rating_clean") >= 4, F.lit(False))
-    j = t.join(popular_items(spark, sf).select("book_id", "mask"), "book_id")
+    j = t.join(items.select("book_id", "mask"), "book_id")
     return j.groupBy("user_id").agg(F.bit_or(F.when(pos, F.col("mask")).otherwise(F.lit(0))).alias("mask"))
 
 
@@ -415,24 +425,73 @@ def bas_random(spark, sf):
     return rank.random_top(user_masks(spark, sf), popular_items(spark, sf), read(spark, sf), 10)
 
 
-@query("rnk_hybrid", f"""WITH {_COLLAB}, pop AS (SELECT book_id, ln(1 + coalesce(n, 0)) * coalesce(mean_rating, 0) AS p, {' + '.join(f'genre_{g} * {1 << i}' for i, g in enumerate(fx.GENRES))} AS mask, title FROM items LEFT JOIN (SELECT book_id, count(rating_clean) AS n, avg(rating_clean) AS mean_rating FROM train GROUP BY 1) USING (book_id)),
+_LIMIT = rank.SOURCE_LIMIT
+_HYBRID = _KNN + _PAIRS.replace("FROM pos", "FROM tpos") + f""", ask AS (SELECT DISTINCT user_id FROM taste WHERE CAST(user_id AS BIGINT) % 20 = 0),
+pop AS (SELECT book_id, ln(1 + coalesce(n, 0)) * coalesce(mean_rating, 0) AS p, {' + '.join(f'genre_{g} * {1 << i}' for i, g in enumerate(fx.GENRES))} AS mask, title FROM items SEMI JOIN vectors USING (book_id) LEFT JOIN (SELECT book_id, count(rating_clean) AS n, avg(rating_clean) AS mean_rating FROM train GROUP BY 1) USING (book_id)),
 um AS (SELECT user_id, bit_or(CASE WHEN is_read AND coalesce(rating_clean >= 4, false) THEN mask ELSE 0 END) AS umask FROM train JOIN pop USING (book_id) GROUP BY 1),
-sig AS (SELECT user_id, book_id, title, round(relevance, 7) AS content, round(score, 7) AS cooccurrence, round(p, 7) AS popularity, CASE WHEN (mask & umask) <> 0 THEN round(p, 7) ELSE 0 END AS genre, 0.0 AS neighbours FROM rel JOIN collab USING (user_id, book_id) JOIN pop USING (book_id) JOIN um USING (user_id)),
-sc AS (SELECT user_id, book_id, title, round({_pct('content')} * 0.35 + {_pct('popularity')} * 0.30 + {_pct('genre')} * 0.20 + {_pct('cooccurrence')} * 0.10 + {_pct('neighbours')} * 0.05, 9) AS score FROM sig),
-rep AS (SELECT *, row_number() OVER (PARTITION BY user_id, lower(title) ORDER BY score DESC, book_id) > 1 AS rp FROM sc)
-SELECT user_id, book_id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY rp, score DESC, book_id) AS rank FROM rep) WHERE rank <= 10""")
+unread AS (SELECT user_id, book_id, p, mask, umask FROM ask JOIN um USING (user_id), pop WHERE NOT EXISTS (SELECT 1 FROM consumed c WHERE c.user_id = ask.user_id AND c.book_id = pop.book_id)),
+both_ways AS (SELECT book_id_a AS book_id, book_id_b AS other, pmi FROM pmi UNION ALL SELECT book_id_b, book_id_a, pmi FROM pmi),
+score AS (SELECT user_id, w.book_id, max(w.pmi) AS score FROM tpos p JOIN both_ways w ON w.other = p.book_id SEMI JOIN ask USING (user_id) GROUP BY 1, 2),
+kn AS (SELECT n.user_id, r.book_id, sum(s) AS s FROM nn n JOIN consumed r ON r.user_id = n.neighbour WHERE s > 0 GROUP BY 1, 2),
+pool AS (SELECT user_id, book_id FROM cand SEMI JOIN ask USING (user_id) SEMI JOIN pop USING (book_id)
+ UNION SELECT user_id, book_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(p, 9) DESC, book_id) AS r FROM unread) WHERE r <= {_LIMIT}
+ UNION SELECT user_id, book_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(p, 9) DESC, book_id) AS r FROM unread WHERE umask = 0 OR (mask & umask) <> 0) WHERE r <= {_LIMIT}
+ UNION SELECT user_id, book_id FROM (SELECT user_id, book_id, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, book_id) AS r FROM score SEMI JOIN unread USING (user_id, book_id) WHERE score > 0) WHERE r <= {_LIMIT}),
+sig AS (SELECT user_id, book_id, title, round(list_cosine_similarity(t.vec, v.vec), 7) AS content, round(coalesce(score, 0), 7) AS cooccurrence, round(p, 7) AS popularity, CASE WHEN (mask & umask) <> 0 THEN round(p, 7) ELSE 0 END AS genre, round(coalesce(kn.s, 0), 7) AS neighbours
+ FROM pool JOIN pop USING (book_id) JOIN um USING (user_id) JOIN taste t USING (user_id) JOIN vectors v USING (book_id) LEFT JOIN score USING (user_id, book_id) LEFT JOIN kn USING (user_id, book_id))"""
+
+
+def _hybrid_sql(content: float, popularity: float, genre: float, cooccurrence: float, neighbours: float) -> str:
+    """CTEs sc and ranked: the pool's scores under these weights, and each reader's list."""
+    return f"""sc AS (SELECT user_id, book_id, title, round({_pct('content')} * {content} + {_pct('popularity')} * {popularity} + {_pct('genre')} * {genre} + {_pct('cooccurrence')} * {cooccurrence} + {_pct('neighbours')} * {neighbours}, 9) AS score FROM sig),
+rep AS (SELECT *, row_number() OVER (PARTITION BY user_id, lower(title) ORDER BY score DESC, book_id) > 1 AS rp FROM sc),
+ranked AS (SELECT user_id, book_id, score, CAST(row_number() OVER (PARTITION BY user_id ORDER BY rp, score DESC, book_id) AS INTEGER) AS rank FROM rep QUALIFY rank <= 10)"""
+
+
+_HYBRID = _HYBRID.replace(", marg AS", ", tpos AS (SELECT DISTINCT user_id, book_id FROM train WHERE is_read AND rating_clean >= 4), marg AS", 1)
+
+
+@query("rnk_hybrid", f"WITH {_HYBRID}, {_hybrid_sql(0.35, 0.30, 0.20, 0.10, 0.05)} SELECT user_id, book_id, score, rank FROM ranked")
 def rnk_hybrid(spark, sf):
-    titles = fx.items(spark, sf).select("book_id", title_key("title").alias("title_key"))
-    return rank.hybrid(signals(spark, sf), rank.Weights(), titles, 10).select("user_id", "book_id", "rank")
+    sig, titles = signals(spark, sf)
+    return rank.hybrid(sig, rank.Weights(), titles, 10).select("user_id", "book_id", "score", "rank")
 
 
 def signals(spark, sf):
-    """The five signals of each candidate; no neighbours are asked here."""
-    c, modes, score = collaborative(spark, sf)
-    rel = retrieve.relevance(c, modes, fx.vectors(spark, sf)).select("user_id", "book_id", F.round("relevance", 7).alias("content"))
-    pop = popular_items(spark, sf).select("book_id", F.col("mask").alias("_m"), F.round(temporal.popularity_score(F.col("n"), F.col("mean_rating")), 7).alias("popularity"))
-    sig = rel.join(score.select("user_id", "book_id", F.round("score", 7).alias("cooccurrence")), ["user_id", "book_id"]).join(pop, "book_id").join(user_masks(spark, sf), "user_id")
-    return sig.withColumn("genre", F.when(F.col("_m").bitwiseAND(F.col("mask")) != 0, F.col("popularity")).otherwise(F.lit(0.0))).withColumn("neighbours", F.lit(0.0))
+    """(the five signals of each asked reader's pool, title keys).
+
+    The readers asked are those whose id 20 divides, against all items and all readers. A pool is the union of the unread
+    items of their clusters and the best unread ones by popularity, by popularity in their genres, and by co-occurrence.
+    History is read once; all five signals come from it.
+    """
+    t = written(train(spark, sf), "hybrid-train")
+    v = written(fx.taste(spark, sf), "hybrid-vectors")
+    items = written(popular_items(spark, sf, t).join(v.select("book_id"), "book_id", "left_semi"), "hybrid-items")
+    profiles = written(single_modes(spark, sf, t), "hybrid-profiles")
+    modes = profiles.where(F.col("user_id").cast("long") % 20 == 0)
+    reads = t.where("is_read").select("user_id", "book_id").distinct()
+    masks = written(user_masks(spark, sf, t, items).join(modes.select("user_id"), "user_id", "left_semi"), "hybrid-masks")
+    own = reads.join(modes.select("user_id"), "user_id", "left_semi")
+    clusters = retrieve.pooled_clusters(modes, retrieve.centroids(v))
+    content = retrieve.candidates(clusters, v.join(items.select("book_id"), "book_id", "left_semi"), own)
+    edges = written(cooc.pairs(users.positives(t)), "hybrid-pairs")
+    history = users.positives(t).join(modes.select("user_id"), "user_id", "left_semi")
+    scores = cooc.history_scores(history, edges).join(items.select("book_id"), "book_id", "left_semi")
+    unread = scores.join(own, ["user_id", "book_id"], "left_anti")
+    sources = [
+        content,
+        rank.popularity_top(masks, items, own, rank.SOURCE_LIMIT),
+        rank.genre_popularity_top(masks, items, own, rank.SOURCE_LIMIT),
+        cooc.collaborative_candidates(unread.where("score > 0"), rank.SOURCE_LIMIT),
+    ]
+    candidates = written(reduce(DataFrame.unionByName, [s.select("user_id", "book_id") for s in sources]).distinct(), "hybrid-pool")
+    rel = retrieve.relevance(candidates, modes, v).select("user_id", "book_id", F.round("relevance", 7).alias("content"))
+    near_reads = knn.neighbour_scores(knn.neighbours(modes, profiles, 10), t).select("user_id", "book_id", F.round("score", 7).alias("neighbours"))
+    pop = items.select("book_id", F.col("mask").alias("_m"), F.round(temporal.popularity_score(F.col("n"), F.col("mean_rating")), 7).alias("popularity"))
+    sig = rel.join(pop, "book_id").join(masks, "user_id")
+    sig = sig.join(scores.select("user_id", "book_id", F.round("score", 7).alias("cooccurrence")), ["user_id", "book_id"], "left").join(near_reads, ["user_id", "book_id"], "left")
+    sig = sig.withColumn("genre", F.when(F.col("_m").bitwiseAND(F.col("mask")) != 0, F.col("popularity")).otherwise(F.lit(0.0)))
+    return sig, items.select("book_id", title_key("title").alias("title_key"))
 
 
 # evaluation
@@ -446,7 +505,9 @@ per AS (SELECT user_id, system, k, sum(hit) / k::DOUBLE AS "precision", sum(hit)
 
 
 def recs(spark, sf):
-    m, i, c = user_masks(spark, sf), popular_items(spark, sf), read(spark, sf)
+    t = written(train(spark, sf), "train")
+    i = written(popular_items(spark, sf, t), "items")
+    m, c = user_masks(spark, sf, t, i), t.where("is_read")
     one = rank.popularity_top(m, i, c, 10).withColumn("system", F.lit("popularity")).unionByName(rank.genre_popularity_top(m, i, c, 10).withColumn("system", F.lit("genre")))
     return one.withColumn("k", F.explode(F.array(F.lit(5), F.lit(10)))).where(F.col("rank") <= F.col("k")).select("user_id", "system", "k", "rank", "book_id")
 
@@ -479,9 +540,9 @@ def eva_candidates(spark, sf):
     return metrics.candidate_recall(cands(spark, sf)[0], relevant(spark, sf)).select("user_id", r6("candidate_recall"))
 
 
-@query("eva_diversity", f"WITH {_RECS}, {fx.VECTORS_SQL}, rv AS (SELECT * FROM recs JOIN vectors USING (book_id)), d AS (SELECT a.user_id, a.system, a.k, avg(1 - greatest(0, least(1, list_cosine_similarity(a.vec, b.vec)))) AS dv FROM rv a JOIN rv b ON a.user_id = b.user_id AND a.system = b.system AND a.k = b.k AND a.rank < b.rank GROUP BY 1, 2, 3) SELECT DISTINCT user_id, system, k, round(coalesce(dv, 0), 6) AS diversity FROM rv LEFT JOIN d USING (user_id, system, k)")
+@query("eva_diversity", f"WITH {_RECS}, {fx.TASTE_SQL}, rv AS (SELECT * FROM recs JOIN vectors USING (book_id)), d AS (SELECT a.user_id, a.system, a.k, avg(1 - greatest(-1, least(1, list_cosine_similarity(a.vec, b.vec)))) AS dv FROM rv a JOIN rv b ON a.user_id = b.user_id AND a.system = b.system AND a.k = b.k AND a.rank < b.rank GROUP BY 1, 2, 3) SELECT DISTINCT user_id, system, k, round(coalesce(dv, 0), 6) AS diversity FROM rv LEFT JOIN d USING (user_id, system, k)")
 def eva_diversity(spark, sf):
-    return metrics.diversity(recs(spark, sf), fx.vectors(spark, sf)).select("user_id", "system", "k", r6("diversity"))
+    return metrics.diversity(recs(spark, sf), fx.taste(spark, sf)).select("user_id", "system", "k", r6("diversity"))
 
 
 _SEG = ", seg AS (SELECT book_id, n, CASE WHEN n >= hi THEN 'head' WHEN n <= lo THEN 'tail' ELSE 'mid' END AS segment FROM (SELECT i.book_id, coalesce(n, 0) AS n FROM items i LEFT JOIN (SELECT book_id, count(rating_clean) AS n FROM train GROUP BY 1) USING (book_id)), (SELECT quantile_cont(n, 0.25) AS lo, quantile_cont(n, 0.9) AS hi FROM (SELECT coalesce(n, 0) AS n FROM items LEFT JOIN (SELECT book_id, count(rating_clean) AS n FROM train GROUP BY 1) USING (book_id))))"
