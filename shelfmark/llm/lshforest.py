@@ -1,29 +1,32 @@
 """N-gram Jaccard self-join by a MinHash LSH forest.
 
-A text's set of word shingles has `trees` MinHash signatures, each a path of a prefix trie. Two sets of
-similarity s share a path's first d values with probability s^d, so matched prefixes start long and are
+A text's set of word shingles has `trees` MinHash signatures of `longest` values, each a path of a prefix trie. Two
+sets of similarity s share a path's first d values with probability s^d, so matched prefixes start long and are
 shortened, value by value, until some tree is expected to match with the target recall at the threshold.
 
 1. Texts of one shingle set are one node with a count of copies.
-2. Nodes below one trie node of the final depth are candidates. Each is tied to two pseudorandom hubs of that
-   trie node, never to all others, so a hot prefix gives two edges a node. A tie stays if the signatures'
-   agreement is within seven standard errors of the threshold.
-3. Ties form candidate groups. Within a group all pairs of nodes are verified by exact intersection sizes, in
-   blocks: a group of many nodes is cut into blocks by hash, and each pair of blocks is a piece of work of
-   bounded size that returns a row a node (its links there and its least linked node), not a row a pair.
-4. Links are summed; linked nodes form the classes.
-
-As all pairs of a group are compared, a pair that shares no trie node is still found if ties connect it.
+2. Each tree's paths are sorted. A node is tied to the path before its own if they share the shortened prefix: in
+   sorted order that is the one of the longest common prefix. A trie node of more than `LANE` paths is split by its
+   whole paths, and each part's first path is tied to one path of that trie node, so no crowd is one task's work.
+   A tie stays if the signatures agree as those of sets at the threshold do (within four standard errors).
+3. A trie node whose members the ties leave in several groups is compared wholly, signature with signature, in
+   blocks, but for pairs of one group. So every pair that shares a shortened prefix in some tree is either in one
+   group or ruled out by its signatures, however crowded the trie node.
+4. Within a group all pairs of nodes are verified by exact intersection sizes, in blocks: a group of many nodes is
+   cut into blocks by hash, and each pair of blocks is a piece of work of bounded size that returns a row a node
+   (its links there and its least linked node), not a row a pair.
+5. Links are summed; linked nodes form the classes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.llm.shingles import finalised, shingle_set
@@ -34,10 +37,15 @@ THRESHOLD = 0.8
 TREES = 32
 LONGEST_PREFIX = 12
 TARGET_RECALL = 0.9999
-#: Nodes in one block of a group, on average.
+#: A tie's signatures agree within so many standard errors of the threshold; a pair at it fails with probability 0.00003.
+ERRORS = 4
+#: Paths of a trie node that one task puts in order.
+LANE = 4096
+#: Nodes in one block of a group, and of a trie node that is compared wholly, on average.
 BLOCK = 256
-#: Rows in one verifying task, on average.
+#: Rows in one verifying task, and in one that compares signatures, on average.
 TASK_ROWS = 512
+CROWD_ROWS = 4096
 #: Ids broadcast to pick texts weigh at most this; more are met by a shuffle join.
 BROADCAST_BYTES = 8 << 20
 #: Rows that a Python worker turns into output at a time.
@@ -68,35 +76,42 @@ def signature(grams: np.ndarray, factors: np.ndarray) -> np.ndarray:
     return out
 
 
-def _signer(trees: int, depth: int, seed: int):
+def _signer(trees: int, depth: int, longest: int, seed: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        factors = _factors(trees * depth, seed)
+        factors = _factors(trees * longest, seed)
         for batch in batches:
             out = []
             for key, mark, text in zip(batch["key"], batch["mark"], batch["text"], strict=True):
+                if len(out) >= PART:
+                    yield _signed(out)
+                    out = []
                 grams = shingle_set(text)
                 if not len(grams):
-                    out.append((key, mark, None, 0, None, None))
+                    out.append((key, mark, None, 0, None, None, None))
                     continue
                 values = signature(grams, factors)
-                paths = values.reshape(trees, depth)
-                ends = [xxhash.xxh3_64_intdigest(p.tobytes(), seed=t) - (1 << 63) for t, p in enumerate(paths)]
-                # the top byte of a minimum is near 0, the low byte is uniform
-                if len(out) >= PART:
-                    yield _signed(out)
-                    out = []
-                out.append((key, mark, xxhash.xxh3_128_digest(grams.tobytes()), len(grams), ends, (finalised(values) & np.uint64(255)).astype(np.uint8).tobytes()))
+                paths = values.reshape(trees, longest)
+                ends = [xxhash.xxh3_64_intdigest(p[:depth].tobytes(), seed=t) - (1 << 63) for t, p in enumerate(paths)]
+                # a minimum's top bits are near 0, so labels and sketch come from its hash
+                mixed = finalised(values)
+                tails = (mixed.reshape(trees, longest)[:, depth:] >> np.uint64(48)).astype(">u2").tobytes()
+                out.append((key, mark, xxhash.xxh3_128_digest(grams.tobytes()), len(grams), ends, tails, (mixed & np.uint64(255)).astype(np.uint8).tobytes()))
             yield _signed(out)
 
     return run
 
 
 def _signed(rows: list[tuple]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=["key", "mark", "node", "grams", "ends", "sketch"])
+    frame = pd.DataFrame(rows, columns=["key", "mark", "node", "grams", "ends", "tails", "sketch"])
     frame["key"] = frame["key"].astype("Int64")
     return frame
 
 
+def likeness(same: np.ndarray) -> np.ndarray:
+    """The similarity that a share of equal bytes tells, as one byte in 256 is equal by chance."""
+    return (same - 1 / 256) / (1 - 1 / 256)
+
+
 def _agreeing(least: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -104,8 +119,46 @@ def _agreeing(least: float):
                 continue
             x = np.frombuffer(b"".join(b["sa"]), dtype=np.uint8).reshape(len(b), -1)
             y = np.frombuffer(b"".join(b["sb"]), dtype=np.uint8).reshape(len(b), -1)
-            same = (x == y).mean(axis=1)
-            yield b.loc[(same - 1 / 256) / (1 - 1 / 256) >= least, ["a", "b"]]
+            yield b.loc[likeness((x == y).mean(axis=1)) >= least, ["a", "b"]]
+
+    return run
+
+
+def labelled(link: np.ndarray) -> np.ndarray:
+    """The least member that each one reaches, of a symmetric matrix of links."""
+    label = np.arange(len(link))
+    while True:
+        least = np.minimum(label, np.where(link, label[None, :], len(link)).min(axis=1, initial=len(link)))
+        least = least[least]
+        if (least == label).all():
+            return label
+        label = least
+
+
+def _crowd(least: float):
+    """Ties among the members of trie nodes that lie in several groups; a tie for each tied member, not for each pair."""
+
+    def run(task: pd.DataFrame) -> pd.DataFrame:
+        task = task.sort_values(["end", "i", "j"], kind="stable")
+        where = task[["end", "i", "j"]].to_numpy()
+        starts = np.flatnonzero(np.r_[True, (where[1:] != where[:-1]).any(axis=1)])
+        nodes, group, block = task["node"].to_numpy(), task["group"].to_numpy(), task["block"].to_numpy()
+        sketch = np.frombuffer(b"".join(task["sketch"]), dtype=np.uint8).reshape(len(task), -1)
+        found: list[tuple] = []
+        for lo, hi in zip(starts, [*starts[1:], len(task)], strict=True):
+            g, b, x = group[lo:hi], block[lo:hi], sketch[lo:hi]
+            asked = g[:, None] != g[None, :]
+            if where[lo][1] != where[lo][2]:  # pairs within one block are the work of that block alone
+                asked &= b[:, None] != b[None, :]
+            if not asked.any():
+                continue
+            same = np.zeros(asked.shape)
+            for k in range(len(x) - 1):
+                same[k, k + 1 :] = (x[k] == x[k + 1 :]).mean(axis=1)
+            tied = asked & (likeness(np.maximum(same, same.T)) >= least)
+            label = labelled(tied)
+            found += [(nodes[lo + k], nodes[lo + m]) for k, m in enumerate(label) if k != m]
+        return pd.DataFrame(found, columns=["a", "b"], dtype=object)
 
     return run
 
@@ -155,13 +208,7 @@ def _verifier(threshold: float):
             block = part["block"].to_numpy()
             link &= block[:, None] != block[None, :]
         links = link @ part["copies"].to_numpy()
-        label = np.arange(len(sets))
-        while True:
-            least = np.minimum(label, np.where(link, label[None, :], len(sets)).min(axis=1))
-            least = least[least]
-            if (least == label).all():
-                break
-            label = least
+        label = labelled(link)
         nodes = part["node"].to_numpy()
         linked = links > 0
         return pd.DataFrame({"node": nodes[linked], "label": nodes[label[linked]], "links": links[linked]})
@@ -173,37 +220,86 @@ def _verifier(threshold: float):
     return run
 
 
-def _ties(nodes: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of a node and a hub of one of its trie nodes whose signatures agree well enough."""
-    ends = nodes.select("node", F.explode("ends").alias("end"))
+def _below(nodes: DataFrame, trees: int, width: int) -> DataFrame:
+    """(end, tail, node, draw, n, lo): the paths of the tries' nodes that have several members, at the shortened prefix.
+
+    `end` names the tree and the prefix, `tail` is the rest of the path in sortable form.
+    """
+    ends = nodes.select("node", "tails", F.posexplode("ends").alias("t", "end"))
+    ends = ends.select("node", "end", F.substring("tails", F.col("t") * width + 1, F.lit(width)).alias("tail"))
     ends = ends.withColumn("draw", F.xxhash64("end", "node"))
     # counts and extremes of longs combine before the shuffle
-    hubs = ends.groupBy("end").agg(F.count("*").alias("n"), F.min("draw").alias("lo"), F.max("draw").alias("hi")).where("n > 1").drop("n")
-    below = written(ends.join(hubs, "end"), "forest-below")
-    of = lambda side: below.where(F.col("draw") == F.col(side)).select("end", F.col("node").alias("hub"))
-    pairs = below.select("end", "node").join(of("lo").unionByName(of("hi")), "end").where("node != hub")
-    pairs = pairs.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
+    several = ends.groupBy("end").agg(F.count("*").alias("n"), F.min("draw").alias("lo")).where("n > 1")
+    return written(ends.join(several, "end"), "forest-below")
+
+
+def _ties(below: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """(a, b): neighbours in the sorted tries whose signatures agree well enough."""
+    crowded = F.col("n") > LANE
+    salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / LANE))
+    paths = below.withColumn("lane", F.when(crowded, F.xxhash64("tail", salt)).otherwise(F.lit(0)))
+    ordered = paths.withColumn("before", F.lag("node").over(Window.partitionBy("end", "lane").orderBy("tail", "node")))
+    hubs = below.where(crowded & (F.col("draw") == F.col("lo"))).select("end", F.col("node").alias("hub"))
+    firsts = ordered.where(crowded & F.col("before").isNull()).select("end", "node").join(hubs, "end").where("node != hub")
+    pairs = ordered.where("before is not null").select("node", "before").unionByName(firsts.select("node", F.col("hub").alias("before")))
+    pairs = pairs.select(F.greatest("node", "before").alias("a"), F.least("node", "before").alias("b")).distinct()
     sketch = nodes.select("node", "sketch")
     met = pairs.join(sketch.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(sketch.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
     return met.mapInPandas(_agreeing(least), "a binary, b binary")
 
 
+def _crowd_ties(below: DataFrame, nodes: DataFrame, groups: DataFrame, least: float, block: int) -> DataFrame:
+    """(a, b): ties among members of one trie node that are in different groups so far."""
+    # two members are one pair of neighbours, which is settled
+    of = below.where("n > 2").join(groups, "node", "left").select("end", "n", "node", F.xxhash64(F.coalesce("group", "node")).alias("group"))
+    open_ = of.groupBy("end").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x != y").select("end")
+    members = of.join(open_, "end").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    members = written(members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "forest-open")
+    rows = members.agg(F.sum("blocks")).first()[0] or 0
+    each = members.join(nodes.select("node", "sketch"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    each = each.select("end", "node", "group", "block", "sketch", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    tasks = max(1, rows // CROWD_ROWS)
+    return each.withColumn("task", F.pmod(F.xxhash64("end", "i", "j"), F.lit(tasks))).groupBy("task").applyInPandas(_crowd(least), "a binary, b binary")
+
+
 def _marked(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(f"`{key}`").cast("long").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("mark"), F.col(f"`{text}`").alias("text"))
 
 
-def _forest(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD, trees: int = TREES, recall: float = TARGET_RECALL, block: int = BLOCK, seed: int = 11) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(signs of rows, nodes with their first row's key and mark, links, linked nodes with their component)."""
-    depth = prefix_depth(threshold, trees, recall)
-    error = (threshold * (1 - threshold) / (trees * depth)) ** 0.5
+@dataclass(frozen=True)
+class Forest:
+    """signs: a row's key, text hash and node; nodes: each with its first row's key and mark; placed: nodes with their group
+    of candidates; links: (node, label, links); classes: (node, component) of linked nodes."""
+
+    signs: DataFrame
+    nodes: DataFrame
+    placed: DataFrame
+    links: DataFrame
+    classes: DataFrame
+
+    def verified(self) -> DataFrame:
+        """(group, nodes, pairs): how many pairs of each group of candidates were verified exactly."""
+        n = F.count("*")
+        return self.placed.groupBy("group").agg(n.alias("nodes"), (n * (n - 1) / 2).cast("long").alias("pairs"))
+
+
+def forest(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD, trees: int = TREES, recall: float = TARGET_RECALL, longest: int = LONGEST_PREFIX, block: int = BLOCK, seed: int = 11) -> Forest:
+    """The links and classes of df's rows, with the tables they came from."""
+    depth = prefix_depth(threshold, trees, recall, longest)
+    least = threshold - ERRORS * (threshold * (1 - threshold) / (trees * longest)) ** 0.5
     docs = _marked(df, key, text)
-    signs = written(docs.mapInPandas(_signer(trees, depth, seed), "key long, mark long, node binary, grams int, ends array<long>, sketch binary"), "forest-signs")
+    signs = written(docs.mapInPandas(_signer(trees, depth, longest, seed), "key long, mark long, node binary, grams int, ends array<long>, tails binary, sketch binary"), "forest-signs")
     worded = signs.where("node is not null")
     row = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "mark")).alias("row")
-    nodes = worded.groupBy("node").agg(row, F.count("*").alias("copies"), F.any_value("ends").alias("ends"), F.any_value("sketch").alias("sketch"))
-    nodes = written(nodes.select("node", F.col("row.key").alias("first"), F.col("row.mark").alias("mark"), "copies", "ends", "sketch"), "forest-nodes")
-
-    groups = written(connected_components(_ties(nodes, threshold - 7 * error)).withColumnRenamed("component", "group"), "forest-groups")
+    nodes = worded.groupBy("node").agg(row, F.count("*").alias("copies"), *[F.any_value(c).alias(c) for c in ("ends", "tails", "sketch")])
+    nodes = written(nodes.select("node", F.col("row.key").alias("first"), F.col("row.mark").alias("mark"), "copies", "ends", "tails", "sketch"), "forest-nodes")
+
+    below = _below(nodes, trees, 2 * (longest - depth))
+    groups = written(connected_components(_ties(below, nodes, least)).withColumnRenamed("component", "group"), "forest-groups")
+    more = written(_crowd_ties(below, nodes, groups, least, block), "forest-crowds")
+    if not more.isEmpty():
+        edges = more.unionByName(groups.select(F.col("node").alias("a"), F.col("group").alias("b")))
+        groups = written(connected_components(edges).withColumnRenamed("component", "group"), "forest-groups")
     sized = groups.groupBy("group").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     placed = groups.join(sized, "group").join(nodes.select("node", "first", "mark", "copies"), "node")
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -220,7 +316,7 @@ def _forest(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD, tr
     found = each.withColumn("task", F.pmod(F.xxhash64("group", "i", "j"), F.lit(tasks))).groupBy("task").applyInPandas(_verifier(threshold), "node binary, label binary, links long")
     found = written(found, "forest-links")
 
-    return signs, nodes, found, connected_components(found, "node", "label")
+    return Forest(signs, nodes, placed, found, connected_components(found, "node", "label"))
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, trees: int = TREES, recall: float = TARGET_RECALL, block: int = BLOCK, seed: int = 11) -> DataFrame:
@@ -232,8 +328,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     its class, or null. Rows of one key count each by themselves. An empty table gives no rows; other columns play
     no part.
     """
-    signs, nodes, found, classes = _forest(df, key, text, threshold, trees, recall, block, seed)
-    linked = found.groupBy("node").agg(F.sum("links").alias("links"))
+    made = forest(df, key, text, threshold, trees, recall, block=block, seed=seed)
+    signs, nodes, classes = made.signs, made.nodes, made.classes
+    linked = made.links.groupBy("node").agg(F.sum("links").alias("links"))
     firsts = classes.join(nodes.select("node", "first"), "node")
     least = firsts.groupBy("component").agg(F.min("first").alias("class_id"))
     of_class = firsts.join(least, "component").select("node", "class_id")
@@ -252,7 +349,8 @@ def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", **optio
     those are all that a text without words loses. Rows meet the kept ones and drop repeats under one exchange by key and
     text hash, where a null key counts as the least number.
     """
-    signs, nodes, _, classes = _forest(df, key, text, **options)
+    made = forest(df, key, text, **options)
+    signs, nodes, classes = made.signs, made.nodes, made.classes
     row = F.struct(F.col("first").isNull().alias("none"), "first", "mark")
     of_class = nodes.select("node", row.alias("row")).join(classes, "node", "left").groupBy(F.coalesce("component", "node").alias("class"))
     kept = of_class.agg(F.min("row").alias("row")).select(F.col("row.first").alias("key"), F.col("row.mark").alias("_mark"))

@@ -4,6 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from shelfmark.llm import lshforest
 from shelfmark.llm.common import PY_WORD
 from shelfmark.llm.lshforest import deduplicated, intersections, near_duplicates, prefix_depth
 from shelfmark.llm.shingles import shingle_set
@@ -89,9 +90,41 @@ def test_prefixes_are_shortened_to_the_target():
     assert prefix_depth(0.8, 1, 0.9999, 12) == 1
 
 
-def test_intersections_in_runs(monkeypatch):
-    from shelfmark.llm import lshforest
+def crowd(n=5000, planted=200, seed=8):
+    """Pages that share three fifths of all their shingles with each other, and copies of some at 0.8 and more."""
+    rng = random.Random(seed)
+    common = " ".join(f"c{i}" for i in range(154))
+    own = lambda k: [f"u{k}x{i}" for i in range(50)]
+    rows = [(k, f"{common} {' '.join(own(k))}") for k in range(n)]
+    for p in range(planted):
+        changed = own(p)
+        for i in range(50 - rng.randint(1, 16), 50):
+            changed[i] = f"v{p}x{i}"
+        rows.append((n + p, f"{common} {' '.join(changed)}"))
+    return rows
+
+
+@pytest.mark.parametrize("lane", [4096, 50])
+def test_planted_pairs_are_found_among_thousands_of_similar_pages(spark, monkeypatch, lane):
+    monkeypatch.setattr(lshforest, "LANE", lane)
+    rows = crowd()
+    assert 0.58 < len(grams(rows[0][1]) & grams(rows[1][1])) / len(grams(rows[0][1]) | grams(rows[1][1])) < 0.62
+    made = lshforest.forest(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), "doc_id", "text")
+    named = made.nodes.select("node", "first")
+    linked = {r.first: r.links for r in made.links.groupBy("node").agg({"links": "sum"}).join(named, "node").toDF("node", "links", "first").collect()}
+    assert linked == {k: 1 for p in range(200) for k in (p, 5000 + p)}  # all planted pairs, and no others
+    work = made.verified().agg({"pairs": "sum", "nodes": "max"}).first()
+    assert work["sum(pairs)"] < 2000 and work["max(nodes)"] < 20, work  # of 13 million pairs
+
+
+def test_a_chain_of_crowded_nodes_is_one_class(spark, monkeypatch):
+    monkeypatch.setattr(lshforest, "LANE", 8)
+    rows = [(k, " ".join([f"c{i}" for i in range(150)] + [f"u{(k + i) // 4}" for i in range(12)])) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in near_duplicates(df, block=8).collect()) == brute(rows)
 
+
+def test_intersections_in_runs(monkeypatch):
     monkeypatch.setattr(lshforest, "COLUMNS", 64)
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 900, n).astype(np.uint64)) for n in (1, 5, 300, 600, 600)]
