@@ -28,3 +28,11 @@ def words_of(text: Column | str) -> Column:
 def bind(value: Column, body) -> Column:
     """body(value), with value evaluated once: a let expression inside one projection."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

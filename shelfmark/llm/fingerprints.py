@@ -15,14 +15,17 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import bind, words_of
+from shelfmark.llm.common import bind, unused, words_of
 
 WIDTH = 5
 BINS = 128
 BITS = 4
 _SHIFT = 63 - 7
-#: Bytes of text in one range of ids, on average.
-RANGE_BYTES = 8 << 20
+#: Bytes of text in one range of ids, on average, up to so many ranges; beyond that ranges grow, and their sorts spill.
+RANGE_BYTES = 16 << 20
+MOST_RANGES = 1 << 16
+#: Rows sampled for each bound.
+PER_RANGE = 20
 
 
 def _probes(seed: int = 23) -> Column:
@@ -96,10 +99,15 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def fingerprinted(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with `packed` (array of longs); a null text is an empty one, equal texts have equal fingerprints."""
+    """df with `packed` (array of longs); a null text is an empty one, equal texts have equal fingerprints.
+
+    A text of any length is hashed as a whole; a text without words has an empty array. Repeated rows stay, an empty table
+    gives no rows, and columns may have any names; a `packed` of df is replaced.
+    """
     keep = [F.col(f"`{c}`") for c in df.columns if c != "packed"]
-    base = df.select(*keep, words_of(F.col(f"`{text}`")).alias("_words"))
-    return base.select(*keep, packed_fingerprint(F.col("_words")).alias("packed"))
+    words = unused(df, "_words")
+    base = df.select(*keep, words_of(F.col(f"`{text}`")).alias(words))
+    return base.select(*keep, packed_fingerprint(F.col(words)).alias("packed"))
 
 
 def _range_of(key: Column, bounds: Column, n: int) -> Column:
@@ -112,35 +120,49 @@ def _range_of(key: Column, bounds: Column, n: int) -> Column:
     return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), step)
 
 
+def _bounds(places: DataFrame, n: int, ranges: int, seed: int = 31) -> list[str]:
+    """Places that open ranges of about equal counts, as JSON in ascending order; the first is the least place of all.
+
+    They are picked from a sample of about PER_RANGE rows a range, so what is sorted in one task and comes to the driver is
+    bounded by MOST_RANGES whatever the table's size.
+    """
+    share = min(1.0, PER_RANGE * ranges / n)
+    step = max(1, round(n * share / ranges))
+    drawn = places if share == 1 else places.sample(share, seed)
+    picked = drawn.withColumn("rn", F.row_number().over(Window.orderBy("place"))).where(F.col("rn") % step == 0).select("place")
+    both = (picked if ranges > 1 else picked.limit(0)).unionByName(places.agg(F.min("place").alias("place"))).distinct()
+    return [r[0] for r in both.orderBy("place").select(F.to_json("place")).collect()]
+
+
 def with_next(df: DataFrame, columns: list[str], key: str = "doc_id", text: str = "text", range_bytes: int = RANGE_BYTES) -> DataFrame:
     """df with `next_` columns: those of the row that follows by ascending key; the first row follows the last.
 
-    Rows are dealt by ranges of the key, whose bounds are keys of the table picked as approximate quantiles, so
-    that a range's text fits in memory. The row that opens a range is also sent to the range before, where it
-    stands last; so one exchange of the rows is enough. Null keys come first, rows of one key in the order of a
-    hash of their texts, and all rows of one key are in one range.
+    Rows are dealt by ranges of their place (key, then a hash of the text, null keys first), whose bounds are places of the
+    table, so a key of many texts spreads over ranges. The row that opens a range is also sent to the range before,
+    where it stands last; so one exchange of the rows is enough. A range is sorted with spilling and need not fit in
+    memory. Rows alike in key and text follow each other in any order, in one range. Keys are of a type that JSON
+    tells exactly (numbers, strings, dates). Texts may be of any length; an empty table gives no rows; columns may have
+    any names, and `next_` columns of df with the same names are replaced.
     """
-    order = F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(-(2**63)))
+    place = F.struct(F.col(f"`{key}`").alias("k"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("h")).alias("place")
+    new = [f"next_{c}" for c in columns]
+    names = [c for c in df.columns if c not in new]
     n, volume = df.agg(F.count("*"), F.sum(F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)).cast("long"))).first()
-    if not n:
-        bounds = [0]
-    else:
-        ranges = max(1, -(-volume // range_bytes))
-        found = df.agg(F.min(order).alias("m"), F.percentile_approx(order, [i / ranges for i in range(ranges)], max(10_000, 20 * ranges)).alias("p")).first()
-        bounds = sorted({found["m"], *found["p"]})
-    array = F.from_json(F.lit(json.dumps(bounds)), "array<bigint>")
-    row = df.withColumn("_order", order)
-    row = row.withColumn("_range", _range_of(F.col("_order"), array, len(bounds)))
-    opens = F.col("_order") == F.get(array, F.col("_range"))
-    before = F.pmod(F.col("_range") - 1, F.lit(len(bounds)))
-    places = F.when(opens, F.array(F.struct(F.col("_range").alias("_r"), F.lit(False).alias("_guest")), F.struct(before.alias("_r"), F.lit(True).alias("_guest"))))
-    alone = F.array(F.struct(F.col("_range").alias("_r"), F.lit(False).alias("_guest")))
-    dealt = row.select(*[F.col(f"`{c}`") for c in df.columns], "_order", F.inline(places.otherwise(alone)))
+    ranges = min(MOST_RANGES, max(1, -(-(volume or 0) // range_bytes)))
+    bounds = _bounds(df.select(place), n, ranges) if n else []
+    kind = df.schema[key].dataType.simpleString()
+    array = F.from_json(F.lit(f"[{','.join(bounds)}]"), f"array<struct<k:{kind},h:bigint>>")
+    count = max(1, len(bounds))
+    row = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), place).withColumn("r", _range_of(F.col("place"), array, count))
+    at = lambda r, guest: F.struct(r.alias("r"), F.lit(guest).alias("guest"))
+    own, before = at(F.col("r"), False), at(F.pmod(F.col("r") - 1, F.lit(count)), True)
+    opens = F.col("place").eqNullSafe(F.get(array, F.col("r")))
+    dealt = row.select("row", "place", F.inline(F.when(opens, F.array(own, before)).otherwise(F.array(own))))
     # a range is a partition of its own, so no task gathers several
-    dealt = dealt.repartitionById(len(bounds), F.col("_r"))
-    w = Window.partitionBy("_r").orderBy("_guest", "_order", F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
-    led = dealt.select(*[F.col(f"`{c}`") for c in df.columns], "_guest", F.lead(F.struct(*columns)).over(w).alias("_next"))
-    return led.where(~F.col("_guest")).select(*[F.col(f"`{c}`") for c in df.columns], *[F.col("_next").getField(c).alias(f"next_{c}") for c in columns])
+    dealt = dealt.repartitionById(count, F.col("r"))
+    w = Window.partitionBy("r").orderBy("guest", "place")
+    led = dealt.select("row", "guest", F.lead(F.struct(*[F.col("row").getField(c).alias(c) for c in columns])).over(w).alias("next"))
+    return led.where(~F.col("guest")).select(*[F.col("row").getField(c).alias(c) for c in names], *[F.col("next").getField(c).alias(m) for c, m in zip(columns, new, strict=True)])
 
 
 def edited(text: Column, n_chars: Column, following: Column) -> Column:

@@ -1,9 +1,12 @@
 import hashlib
 import random
+import struct
 
+import xxhash
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import words_of
+from shelfmark.llm import queries
+from shelfmark.llm.common import PY_WORD, words_of
 from shelfmark.llm.fingerprints import as_text, edited, fingerprinted, likeness, with_next
 from shelfmark.llm.shingles import shingle_set
 
@@ -73,6 +76,67 @@ def test_one_row_null_and_no_rows(spark):
     assert sorted(r.next_text for r in with_next(two, ["text"], range_bytes=1).collect()) == ["a", "a", "b", "c"]
 
 
+def fingerprint_by_hand(text):
+    """Bins, filled bins and packed bits worked out one by one; XXH64 is the one thing shared with the operator."""
+    words = PY_WORD.findall(text)
+    if not words:
+        return ""
+    hashes = []
+    for i in range(max(1, len(words) - 4)):
+        seed = 42
+        for w in words[i : i + 5]:
+            seed = xxhash.xxh64_intdigest(w.encode(), seed=seed)
+        hashes.append(seed >> 1)
+    bins = {}
+    for h in hashes:
+        bins[h >> 56] = min(h, bins.get(h >> 56, h))
+    out = ""
+    for b in range(128):
+        probe = [x for x in range(128) if x != b]
+        random.Random(23 * 1000 + b).shuffle(probe)
+        value = next(bins[x] for x in [b, *probe] if x in bins)
+        low = xxhash.xxh64_intdigest(struct.pack("<i", b), seed=xxhash.xxh64_intdigest(struct.pack("<q", value), seed=42))
+        out += f"{low & 15:x}"
+    return out
+
+
+def likeness_by_hand(a, b):
+    if not a or not b:
+        return float(a == b)
+    same = sum(x == y for x, y in zip(a, b, strict=True)) / 128
+    return min(1.0, max(0.0, (same - 1 / 16) / (1 - 1 / 16)))
+
+
+def test_query_against_fingerprints_by_hand(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+    got = {r.doc_id: r for r in queries.QUERIES["op8_oph_fingerprints"](spark, sf).collect()}
+    assert len(got) == len(rows)
+    for (key, text), (_, after) in zip(rows, rows[1:] + rows[:1], strict=True):
+        half = len(text) // 2
+        new = text[: len(text) - half] + after[:half]
+        r, f, e = got[key], fingerprint_by_hand(text), fingerprint_by_hand(new)
+        assert (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) == (len(text), hashlib.sha256(new.encode()).hexdigest(), f, e)
+        assert abs(r.near_edited - likeness_by_hand(f, e)) < 1e-9 and abs(r.near_next - likeness_by_hand(f, fingerprint_by_hand(after))) < 1e-9
+
+
+def test_names_that_clash_and_keys_of_one_value(spark):
+    n = 40
+    df = spark.createDataFrame([(None, f"t{i % 7} x", "a", "b", "c", "d") for i in range(n)], "doc_id string, text string, place string, r string, next_text string, _words string").repartition(3)
+    out = with_next(fingerprinted(df), ["text", "packed"], range_bytes=20).collect()
+    assert len(out) == n and all((r.place, r.r, r._words) == ("a", "b", "d") for r in out)
+    after = {}
+    for r in out:
+        after.setdefault(r.text, set()).add(r.next_text)
+    # rows of one text follow each other, and the texts are one ring
+    ring, at = [], "t0 x"
+    for _ in range(7):
+        ring.append(at)
+        assert at in after[at]
+        (at,) = after[at] - {at}
+    assert at == "t0 x" and len(set(ring)) == 7
+
+
 def test_words_at_the_ends(spark):
     df = spark.createDataFrame([(t,) for t in ("", " ", " a", "a ", "\n\ta  b \x0b", "a")], "t string").select("t", words_of("t").alias("w"))
     for r in df.collect():
