@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import WORD, bind, words_of
+from shelfmark.llm.common import bind, unused, WORD, words_of
 
 #: What counts as a symbol.
 SYMBOLS = "[#*$%&|<>]"
@@ -77,9 +77,14 @@ def _ratio(a: Column, b: Column) -> Column:
 
 
 def measured(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with `n_words`, `word_chars`, `n_symbols`, `n_lines`, `n_dup_lines`, `n_repeat_words`, `n_stop_words` (long)."""
+    """df with `n_words`, `word_chars`, `n_symbols`, `n_lines`, `n_dup_lines`, `n_repeat_words`, `n_stop_words` (long).
+
+    A null text is an empty one; a text of any length counts as a whole; columns of df with these names are replaced, and
+    others may have any names; repeated rows stay.
+    """
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    w = F.col("_words")
+    words, parted = unused(df, "_words"), unused(df, "_lines")
+    w, found = F.col(words), F.col(parted)
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD))
     stops = F.filter(w, lambda x: x.isin(*stop_forms()))
     long = lambda c: c.cast("long")
@@ -87,13 +92,13 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
         "n_words": long(F.size(w)),
         "word_chars": long(F.length(F.array_join(w, ""))),
         "n_symbols": long(F.regexp_count(t, F.lit(SYMBOLS))),
-        "n_lines": long(F.size(F.col("_lines"))),
-        "n_dup_lines": long(F.size(F.col("_lines")) - F.size(F.array_distinct(F.col("_lines")))),
+        "n_lines": long(F.size(found)),
+        "n_dup_lines": long(F.size(found) - F.size(F.array_distinct(found))),
         "n_repeat_words": covered_words(w),
         "n_stop_words": long(F.size(stops)),
     }
-    keep = [c for c in df.columns if c not in new and c not in ("_words", "_lines")]
-    base = df.select(*[F.col(f"`{c}`") for c in keep], words_of(t).alias("_words"), lines.alias("_lines"))
+    keep = [c for c in df.columns if c not in new]
+    base = df.select(*[F.col(f"`{c}`") for c in keep], words_of(t).alias(words), lines.alias(parted))
     # generated rather than projected: a filter on a measure stays above, and does not repeat what makes it
     return base.select(*[F.col(f"`{c}`") for c in keep], F.inline(F.array(F.struct(*[v.alias(k) for k, v in new.items()]))))
 
