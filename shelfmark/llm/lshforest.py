@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfmark.llm.common import unused
 from shelfmark.llm.shingles import finalised, shingle_set
 from shelfmark.operators.components import connected_components
 from shelfmark.store import written
@@ -356,5 +357,6 @@ def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", **optio
     kept = of_class.agg(F.min("row").alias("row")).select(F.col("row.first").alias("key"), F.col("row.mark").alias("_mark"))
     kept = kept.unionByName(signs.where("node is null").select("key", F.col("mark").alias("_mark")))
     at = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(2**63)))
-    marked = df.withColumn("_k", at(f"`{key}`")).withColumn("_mark", F.xxhash64(F.col(f"`{text}`")))
-    return marked.join(kept.select(at("key").alias("_k"), "_mark"), ["_k", "_mark"], "left_semi").dropDuplicates(["_k", "_mark"]).drop("_k", "_mark")
+    k, mark = unused(df, "_k"), unused(df, "_mark")
+    marked = df.withColumn(k, at(f"`{key}`")).withColumn(mark, F.xxhash64(F.col(f"`{text}`")))
+    return marked.join(kept.select(at("key").alias(k), F.col("_mark").alias(mark)), [k, mark], "left_semi").dropDuplicates([k, mark]).drop(k, mark)

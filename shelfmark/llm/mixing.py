@@ -20,11 +20,12 @@ from math import isqrt
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmark.llm.common import words_of
+from shelfmark.llm.common import unused, words_of
+from shelfmark.llm.shingles import finalised
 from shelfmark.store import written
 
 #: Weights of the sources in code point order, repeating; null last.
@@ -37,13 +38,6 @@ ROUNDS = 6
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser (the constants of splitmix64, fixed values)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray, inverse: bool = False) -> np.ndarray:
     """Each index under the pseudorandom permutation of range(size) that its key names; vectorised."""
     x, n, k = (np.asarray(v).astype(np.uint64) for v in np.broadcast_arrays(index, size, key))
@@ -58,9 +52,9 @@ def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray, inverse: bool
             for r in range(ROUNDS - 1, -1, -1) if inverse else range(ROUNDS):
                 tweak = kk + np.uint64(r + 1) * _GOLDEN
                 if inverse:
-                    left, right = right ^ (_mixed(left + tweak) & m), left
+                    left, right = right ^ (finalised(left + tweak) & m), left
                 else:
-                    left, right = right, left ^ (_mixed(right + tweak) & m)
+                    left, right = right, left ^ (finalised(right + tweak) & m)
             out[todo] = (left << b) | right
             todo = todo[out[todo] >= n[todo]]  # walk on until the value is in range
     return out.astype(np.int64)
@@ -98,7 +92,7 @@ def targets(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, share: float
 
 def pass_key(seed: int, source, turn):
     with np.errstate(over="ignore"):
-        return _mixed(np.asarray(source).astype(np.uint64) * np.uint64(1_000_003) + np.asarray(turn).astype(np.uint64) + np.uint64(seed) * _GOLDEN)
+        return finalised(np.asarray(source).astype(np.uint64) * np.uint64(1_000_003) + np.asarray(turn).astype(np.uint64) + np.uint64(seed) * _GOLDEN)
 
 
 def quota(source: int, size: int, target: float, block_words: int, seed: int) -> Quota:
@@ -152,9 +146,15 @@ def _mapped(quotas: list[Quota], block_words: int, seed: int):
     return run
 
 
+def _hash(text: str, source: str) -> Column:
+    """Tells rows of one key apart by their texts and sources."""
+    of = F.col(f"`{source}`").cast("string")
+    return F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.coalesce(of, F.lit("")), of.isNull())
+
+
 @dataclass(frozen=True)
 class Mix:
-    """documents: (key, text hash, src, size, off); slots: (shard, slot, src, turn, block, most); pieces: the
+    """documents: (key, hash of text and source, src, size, off); slots: (shard, slot, src, turn, block, most); pieces: the
     slots' parts of documents (shard, slot, turn, src, off, start, words)."""
 
     documents: DataFrame
@@ -173,7 +173,7 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     order and draws depend on keys, texts and the seed alone.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").cast("string").alias("source"), F.size(words_of(F.col(f"`{text}`"))).cast("long").alias("size"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("h"))
+    rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").cast("string").alias("source"), F.size(words_of(F.col(f"`{text}`"))).cast("long").alias("size"), _hash(text, source).alias("h"))
     rows = written(rows, "mix-rows")
     found = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     found.sort(key=lambda r: (r["source"] is None, [ord(c) for c in r["source"] or ""]))
@@ -223,19 +223,21 @@ def taken(plan: Mix) -> DataFrame:
     return full.select(*cols, F.coalesce("taken", F.lit(0)).alias("taken")).unionByName(none.select(*cols, "taken"))
 
 
-def mixed_documents(df: DataFrame, plan: Mix, key: str = "doc_id", text: str = "text") -> DataFrame:
+def mixed_documents(df: DataFrame, plan: Mix, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """df's columns, a row for each pass that takes words of a row, its text cut to the words taken.
 
-    A text taken whole stays as it is; else its taken runs of words are joined by single blanks. Keys of df must
-    be unique but for rows alike in key and text, which are taken as one of them each.
+    A text taken whole stays as it is; else its taken runs of words are joined by single blanks. Keys need not be
+    unique and may be null or of any type: rows of one key are told apart by their texts and sources, and of rows alike in
+    all three each is taken by itself, with the other columns of one of them. Columns may have any names.
     """
     spans = plan.pieces.groupBy("src", "off", "turn").agg(F.sort_array(F.collect_list(F.struct("start", "words"))).alias("spans"), F.sum("words").alias("n"))
-    # one exchange of the texts: repeats are dropped and spans are met by the same two columns, a null key as the least number
-    at = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(2**63)))
-    rows = plan.documents.where("size > 0").join(spans, ["src", "off"]).select(at("key").alias("_k"), F.col("h").alias("_h"), F.struct("size", "spans", "n").alias("_mix"))
-    full = df.withColumn("_k", at(key)).withColumn("_h", F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))).dropDuplicates(["_k", "_h"])
-    joined = full.join(rows, ["_k", "_h"])
+    k, h, m = (unused(df, c) for c in ("_k", "_h", "_mix"))
+    named = lambda c: F.xxhash64(F.col(f"`{c}`"), F.col(f"`{c}`").isNull())
+    # one exchange of the texts: repeats are dropped and spans are met by the same two columns
+    rows = plan.documents.where("size > 0").join(spans, ["src", "off"]).select(named("key").alias(k), F.col("h").alias(h), F.struct("size", "spans", "n").alias(m))
+    full = df.withColumn(k, named(key)).withColumn(h, _hash(text, source)).dropDuplicates([k, h])
+    joined = full.join(rows, [k, h])
     words = words_of(F.col(f"`{text}`"))
-    cut = F.array_join(F.flatten(F.transform("_mix.spans", lambda s: F.slice(words, (s["start"] + 1).cast("int"), s["words"].cast("int")))), " ")
-    new = F.when(F.col("_mix.n") == F.col("_mix.size"), F.col(f"`{text}`")).otherwise(cut)
-    return joined.withColumn(text, new).select(*df.columns)
+    cut = F.array_join(F.flatten(F.transform(F.col(m)["spans"], lambda s: F.slice(words, (s["start"] + 1).cast("int"), s["words"].cast("int")))), " ")
+    new = F.when(F.col(m)["n"] == F.col(m)["size"], F.col(f"`{text}`")).otherwise(cut)
+    return joined.withColumn(text, new).select(*[F.col(f"`{c}`") for c in df.columns])
