@@ -12,6 +12,20 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def width_of(df: DataFrame, vector: str) -> int:
+    """The length of df's vectors, told by one of them; 0 without any."""
+    found = df.where(F.col(vector).isNotNull()).select(F.size(vector)).first()
+    return found[0] if found else 0
+
+
+def dot_of(a: Column, b: Column, width: int) -> Column:
+    """The dot product of vectors of a known length, written out so that it is compiled with the stage around it."""
+    total = F.lit(0.0)
+    for i in range(width):
+        total = total + F.get(a, F.lit(i)) * F.get(b, F.lit(i))
+    return total
+
+
 def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 

@@ -31,7 +31,8 @@ def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = 0.85, toler
     """(id, rank): weighted PageRank; a vertex whose edges weigh nothing is dangling, and its rank spreads evenly.
 
     Each round is one join and one grouped sum, written to the shared folder; it ends when the ranks move less than
-    `tolerance` a vertex in all. Without positive edges the ranks are uniform.
+    `tolerance` a vertex in all, and it is an error if they do not in `rounds` rounds. Without positive edges the ranks are
+    uniform.
     """
     n = vertices.count()
     if not n:
@@ -41,16 +42,17 @@ def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = 0.85, toler
     share = written(share, "pagerank-shares")
     linked = share.select("id").distinct().withColumn("linked", F.lit(True))
     ranks = written(vertices.select("id").join(linked, "id", "left").select("id", F.coalesce("linked", F.lit(False)).alias("linked"), F.lit(1.0 / n).alias("rank")), "pagerank")
+    spread = F.coalesce(F.sum(F.when(~F.col("linked"), F.col("rank"))), F.lit(0.0))
+    loose = ranks.agg(spread).first()[0]
     for _ in range(rounds):
-        loose = ranks.where("not linked").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
         given = ranks.join(share, "id").groupBy(F.col("other").alias("id")).agg(F.sum(F.col("rank") * F.col("p")).alias("got"))
         new = ranks.join(given, "id", "left").select("id", "linked", (damping * (F.coalesce("got", F.lit(0.0)) + loose / n) + (1 - damping) / n).alias("rank"), F.col("rank").alias("_old"))
         new = written(new, "pagerank")
-        moved = new.agg(F.sum(F.abs(F.col("rank") - F.col("_old")))).first()[0]
+        moved, loose = new.agg(F.sum(F.abs(F.col("rank") - F.col("_old"))), spread).first()
         ranks = new.drop("_old")
         if moved < n * tolerance:
-            break
-    return ranks.select("id", "rank")
+            return ranks.select("id", "rank")
+    raise RuntimeError(f"ranks did not settle in {rounds} rounds")
 
 
 def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.functions.vectors import cosine, finite, mean_by
+from shelfmark.functions.vectors import dot_of, finite, mean_by, unit, width_of
 from shelfmark.operators.windows import round_robin, top
 
 
@@ -22,8 +22,10 @@ def centroids(items: DataFrame) -> DataFrame:
 
 def cluster_scores(modes: DataFrame, centres: DataFrame) -> DataFrame:
     """(user_id, mode, cluster, score): mode weight times cosine. The centres are a bounded table and are broadcast."""
-    c = F.broadcast(centres.select("cluster", F.col("vec").alias("centre")))
-    return modes.join(c).select("user_id", "mode", "cluster", (F.col("weight") * cosine(F.col("vec"), F.col("centre"))).alias("score"))
+    d = width_of(centres, "vec")
+    c = F.broadcast(centres.select("cluster", unit(F.col("vec")).alias("centre")))
+    m = modes.select("user_id", "mode", "weight", unit(F.col("vec")).alias("_u"))
+    return m.join(c).select("user_id", "mode", "cluster", (F.col("weight") * dot_of(F.col("_u"), F.col("centre"), d)).alias("score"))
 
 
 def pooled_clusters(modes: DataFrame, centres: DataFrame, n: int = 5) -> DataFrame:
@@ -48,6 +50,7 @@ def candidates(clusters: DataFrame, items: DataFrame, consumed: DataFrame) -> Da
 
 def relevance(cands: DataFrame, modes: DataFrame, items: DataFrame) -> DataFrame:
     """(user_id, book_id, relevance): the greatest weighted cosine over a reader's modes."""
-    with_vec = cands.select("user_id", "book_id").join(items.select("book_id", F.col("vec").alias("_v")), "book_id")
-    scored = with_vec.join(modes.select("user_id", "weight", "vec"), "user_id")
-    return scored.groupBy("user_id", "book_id").agg(F.max(F.col("weight") * cosine(F.col("vec"), F.col("_v"))).alias("relevance"))
+    d = width_of(items, "vec")
+    with_vec = cands.select("user_id", "book_id").join(items.select("book_id", unit(F.col("vec")).alias("_v")), "book_id")
+    scored = with_vec.join(modes.select("user_id", "weight", unit(F.col("vec")).alias("_u")), "user_id")
+    return scored.groupBy("user_id", "book_id").agg(F.max(F.col("weight") * dot_of(F.col("_u"), F.col("_v"), d)).alias("relevance"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import text as X
 from shelfmark.operators import curation as C
 from shelfmark.plans import fixtures as fx
+from shelfmark.store import written
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -31,6 +33,17 @@ def best(spark, sf):
     return C.keep_best(C.clean(fx.raw(spark, sf)), tie())
 
 
+_CANONICAL: dict[tuple[str, str], DataFrame] = {}
+
+
+def canonical(spark, sf):
+    """best, built once in a session and written to the shared folder: what the queries downstream of curation read."""
+    at = (spark.sparkContext.applicationId, sf)
+    if at not in _CANONICAL:
+        _CANONICAL[at] = written(best(spark, sf), "canonical")
+    return _CANONICAL[at]
+
+
 @query("cur_clean_interactions", f"WITH {fx.clean_sql()} SELECT user_id, book_id, rating_missing, rating_clean, has_review_text, engagement_mode, CAST(engagement_weight AS DOUBLE) AS engagement_weight, interaction_key FROM clean")
 def cur_clean(spark, sf):
     return C.clean(fx.raw(spark, sf)).select("user_id", "book_id", "rating_missing", "rating_clean", "has_review_text", "engagement_mode", "engagement_weight", "interaction_key")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.operators import metrics, rank, retrieve, temporal, users, windows
 from shelfmark.plans import fixtures as fx
-from shelfmark.plans.q_curation import best
+from shelfmark.plans.q_curation import canonical as best
 from shelfmark.plans.q_ranking import _RECS, _SEG, FLOOR, cands, collaborative, pool, popularity, popular_items, read, recs, relevant, segmented, signals, single_modes, train, user_masks
 from shelfmark.store import written
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions import nested as N
 from shelfmark.operators import cluster, contracts, cooc, features, graph, profile, retrieve, users
 from shelfmark.plans import fixtures as fx
-from shelfmark.plans.q_curation import best
+from shelfmark.plans.q_curation import canonical as best
 from shelfmark.plans.q_ranking import _PAIRS, BEST, FLAGS, POS, catalog, r6
 from shelfmark.sources import files
 from shelfmark.store import shared_dir

@@ -12,7 +12,7 @@ from shelfmark.functions.vectors import cosine, norm, unit, without_axes
 from shelfmark.operators import cooc, habits, knn, metrics, rank, retrieve, temporal, users, windows
 from shelfmark.operators import curation as C
 from shelfmark.plans import fixtures as fx
-from shelfmark.plans.q_curation import best
+from shelfmark.plans.q_curation import canonical as best
 from shelfmark.store import written
 
 Q: dict = {}
