@@ -62,3 +62,21 @@ Unless required by applicable law or agreed to in writing, software distributed
     "GPL-3.0 line": "This work is licensed under the GNU General Public License, version 3.",
     "MIT line": "Released under the MIT License.",
 }
+
+#: Digests of the normal forms of long public licences' full texts, as distributed with their own copyright lines and
+#: appendices; fixed values, made by `licenses.canonical` from those texts.
+DIGESTS = {
+    "Apache-2.0": "7344d7b010ed06669d02fd695b0ad14b4f233520668c35c46d585f981ed64e02",
+    "Artistic-1.0-Perl": "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702",
+    "CC0-1.0": "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",
+    "GFDL-1.2": "1c057ea35084eb195331cec1a49fca335c176422a7726a9a23636906fd4e241f",
+    "GFDL-1.3": "7e8edd3abe6258bb82bb853d91a0c24fcd9976894fd0592747354cffe1cb18e7",
+    "GPL-1.0": "98db0b473e0a45a62b04a39b6b864b4e079a58d513e2196f94fe7252fa8574a6",
+    "GPL-2.0": "e95eb1718f9f373d56cc586a5f7d1bfa11668867f6e85e982d2b6108b97d90a1",
+    "GPL-3.0": "e45fdf2ecb0f05dd188636cd45a7e9be8d0af6c375e83667e79460782b04dd25",
+    "LGPL-2.0": "e4deecd0730802431ad09f00ae3793f3703c8e4dba639586545d9f958405614d",
+    "LGPL-2.1": "d3826e4e563a04a354453ff139a32b19d6c3fe283f518eb566107c54e18cd01f",
+    "LGPL-3.0": "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
+    "MPL-1.1": "a035017dc51084798d78cef84689dd85adf057cac35f2af53d9d0aef5e305ba3",
+    "MPL-2.0": "8f0473f9c917c507827dca355168119bb065ca1a9dab0e366988bcdba5fa039b",
+}

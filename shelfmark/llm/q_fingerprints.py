@@ -10,6 +10,7 @@ from shelfmark.llm.fingerprints import as_text, edited, fingerprinted, likeness,
 
 
 def op8_oph_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row's fingerprints; a null text is an empty one, null ids come first, rows of one id follow each other by a hash of their texts."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     led = with_next(fingerprinted(docs), ["text", "packed"])
     n = F.length("text")

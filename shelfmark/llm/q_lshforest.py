@@ -9,6 +9,7 @@ from shelfmark.llm.lshforest import near_duplicates
 
 
 def op10_lsh_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row's class and links; a text without words has none, repeated rows count each other."""
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 

@@ -9,6 +9,7 @@ from shelfmark.llm.rules import judged, rules_sql
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row's counts and verdict; a null text has no words, so the base fails it. Repeated rows stay."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return judged(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_stop_words", "failed")
 

@@ -10,6 +10,7 @@ from shelfmark.llm.sharding import external_shuffle
 
 
 def op9_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row's shard and slot under the law `rows`; a null text has size 1, repeated rows are placed each by themselves."""
     docs = table(spark, sf_dir, "documents")
     text = F.coalesce(F.col("text"), F.lit(""))
     return external_shuffle(docs.select("doc_id", "text", "lang", "source")).select(

@@ -1,8 +1,10 @@
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.llm import queries
-from shelfmark.llm.license_texts import LICENSES
+from shelfmark.llm.license_texts import DIGESTS, LICENSES
 from shelfmark.llm.licenses import canonical, known_licenses, scanned
 from shelfmark.llm.q_licenses import OP1_SQL
 from tests.oracle import assert_matches
@@ -32,7 +34,24 @@ def test_every_known_text_has_a_digest_of_its_own(spark):
     assert known_licenses(spark).count() == len(LICENSES)
 
 
-@pytest.mark.parametrize("a,b", [("Non-Infringement", "noninfringement"), ("a & b", "A  and B"), ("Licence\n\nCopyright 2020 Foo", "license"), ("naïve—text", "NAÏVE TEXT")])
+FILES = {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "GFDL-1.3": "GFDL-1.3"}
+
+
+def test_full_texts_are_known_by_their_digests(spark):
+    folder = Path("/usr/share/common-licenses")
+    if not folder.is_dir():
+        pytest.skip("no licence texts on this machine")
+    rows = []
+    for name, file in FILES.items():
+        text = (folder / file).read_text()
+        rows += [(name, text), (name, "Copyright (C) 2021 Some One\n" + text.upper().replace("\n", " \n\t")), (name, text.replace("license", "licence").replace(", ", " , ")), (None, text + " more")]
+    out = scanned(spark.createDataFrame(rows, "want string, text string"), known_licenses(spark, digests=DIGESTS)).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        assert r.license_id == r.want
+
+
+@pytest.mark.parametrize("a,b", [("fulfilment of an authorised programme", "FULFILLMENT of an authorized program"), ("Non-Infringement", "noninfringement"), ("a & b", "A  and B"), ("Licence\n\nCopyright 2020 Foo", "license"), ("naïve—text", "NAÏVE TEXT")])
 def test_normal_forms(spark, a, b):
     assert len({r.c for r in spark.createDataFrame([(a,), (b,)], "t string").select(canonical(F.col("t")).alias("c")).collect()}) == 1
 
