@@ -1,4 +1,8 @@
-"""Documents through five corpus stages, each over all that its predecessor kept."""
+"""Documents through five corpus stages, each over all that its predecessor kept.
+
+Every stage takes documents with COLUMNS (a missing one is an error, others are left out) and any values: nulls in any
+column, empty and very long texts, repeated rows and keys, no rows at all. What becomes of these is stated with each.
+"""
 
 from __future__ import annotations
 
@@ -22,30 +26,39 @@ def _documents(df: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told; their `lang` is the one found. Texts without letters and undecided ones go."""
+    """Documents whose language is told; their `lang` is the one found. Texts without letters (null ones too) and undecided ones go.
+
+    Rows with a null key, text or language teach nothing, but each row is told by its whole text; repeated rows are told alike.
+    """
     model = fit(docs.where(~held_out("doc_id")))
     told = identify(docs, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE))
     return _documents(told.withColumn("lang", F.col("lang_pred")))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base and every rule of the threshold table."""
+    """Documents that pass the base and every rule of the threshold table; each row by its whole text, so a null text goes."""
     return _documents(judged(docs).where("kept"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates, that of the least id."""
+    """One document of each class of near duplicates, that of the least id, null last.
+
+    Rows of one id and unlike texts are of several classes and stay; texts without words are near no others.
+    """
     return _documents(deduplicated(docs))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of the sources at their targets: a row for each pass over a document, cut to the words taken."""
+    """The mix of the sources at their targets: a row for each pass over a document, cut to the words taken.
+
+    A null source is a source, the last; a text without words is never taken; rows of one id are told apart by text and source.
+    """
     mixed = mixed_documents(docs, mix(docs))
     return _documents(mixed.withColumn("n_chars", F.length("text").cast("long")))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in windows of 256, 512 and 1024 tokens."""
+    """The pieces of all documents in windows of 256, 512 and 1024 tokens; a null text has its end token alone, a null id stays null."""
     pieces = pack(docs.select("doc_id", "text"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "context", "step_group")
 
