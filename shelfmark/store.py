@@ -13,10 +13,15 @@ _LOCAL: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests on one machine), a temporary folder that goes at exit."""
+    """The folder of spark.checkpoint.dir. Where it is unset, on one machine alone, a temporary folder that goes at exit.
+
+    On a cluster executors do not share temporary folders, so an unset folder is an error there.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="shelfmark-"))
         atexit.register(shutil.rmtree, _LOCAL[0], True)
