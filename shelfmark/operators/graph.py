@@ -73,13 +73,30 @@ def summary(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def sensitivity(vertices: DataFrame, edges: DataFrame, cuts: list[int]) -> DataFrame:
-    """(threshold, edges, connected_nodes): what is left at each least co_count; all cuts in one pass."""
+    """(threshold, edges, connected_nodes, components, largest_fraction): what is left at each least co_count.
+
+    All cuts go through one search of components, whose nodes are pairs of cut and vertex, so its rounds are those of the
+    longest path of any cut. A vertex without edges is a component of its own. Without vertices the fraction is 0.
+    """
     each = edges.withColumn("threshold", F.explode(F.array(*[F.lit(c) for c in cuts]))).where("co_count >= threshold")
+    each = written(each.select("threshold", "a", "b"), "cut-edges")
     e = each.groupBy("threshold").agg(F.count("*").alias("edges"))
-    v = each.select("threshold", F.explode(F.array("a", "b")).alias("id")).groupBy("threshold").agg(F.countDistinct("id").alias("connected_nodes"))
-    base = edges.sparkSession.createDataFrame([(c,) for c in cuts], "threshold int")
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return base.join(e, "threshold", "left").join(v, "threshold", "left").select("threshold", zero("edges"), zero("connected_nodes"))
+    of = lambda c: F.struct("threshold", F.col(c).alias("id"))
+    found = connected_components(each.select(of("a").alias("a"), of("b").alias("b")))
+    sizes = found.groupBy("component").agg(F.count("*").alias("n")).groupBy("component.threshold")
+    c = sizes.agg(F.sum("n").alias("connected_nodes"), F.count("*").alias("_groups"), F.max("n").alias("_largest"))
+    n = F.col("_nodes")
+    base = edges.sparkSession.createDataFrame([(c,) for c in cuts], "threshold int").crossJoin(vertices.agg(F.count("*").alias("_nodes")))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    alone = n - zero("connected_nodes")
+    largest = F.greatest(zero("_largest"), F.least(n, F.lit(1)))
+    return base.join(e, "threshold", "left").join(c, "threshold", "left").select(
+        "threshold",
+        zero("edges").alias("edges"),
+        zero("connected_nodes").alias("connected_nodes"),
+        (zero("_groups") + alone).alias("components"),
+        F.when(n > 0, largest / n).otherwise(F.lit(0.0)).alias("largest_fraction"),
+    )
 
 
 def _paths_from(source: str, near: dict[str, list[tuple[str, float]]]) -> dict[str, float]:

@@ -135,9 +135,13 @@ def grid_winner(summary: DataFrame, baseline: str, content: str, k: int = 10) ->
 
 
 def ab_winner(summary: DataFrame, baseline: str, content: str, k: int = 10) -> DataFrame:
-    """(winner): at one k, the best variant that beats the baseline and is no worse than the content system; else the content system."""
+    """(winner): at one k, the best variant that beats the baseline and is no worse than the content system; else the content system.
+
+    Best is by NDCG, recall, then candidate recall where the summary has it; what is still tied goes to the first name.
+    """
     at = summary.where(F.col("k") == k)
     met = at.where(~F.col("system").isin(baseline, content)).join(_beside(at, baseline, "b"), "k").join(_beside(at, content, "c"), "k")
     ok = _beats("b") & (F.col("recall") >= F.col("c_recall")) & (F.col("ndcg") >= F.col("c_ndcg"))
-    best = met.where(ok).orderBy(F.desc("ndcg"), F.desc("recall"), "system").limit(1)
+    order = [F.desc(c) for c in ("ndcg", "recall", "candidate_recall") if c in summary.columns]
+    best = met.where(ok).orderBy(*order, "system").limit(1)
     return best.agg(F.coalesce(F.max("system"), F.lit(content)).alias("winner"))

@@ -263,9 +263,12 @@ def gra_summary(spark, sf):
     return graph.summary(v, e.where("w > 0.3")).withColumn("density", F.round("density", 6)).withColumn("largest_fraction", F.round("largest_fraction", 6))
 
 
-@query("gra_sensitivity", f"WITH {_G} SELECT t AS threshold, count(a) AS edges, (SELECT count(*) FROM (SELECT a FROM e WHERE co_count >= t UNION SELECT b FROM e WHERE co_count >= t)) AS connected_nodes FROM (VALUES (2), (3), (5), (10)) AS v(t) LEFT JOIN e ON co_count >= t GROUP BY 1")
+_CUTS = "WITH RECURSIVE {g}, cuts(t) AS (VALUES (2), (3), (5), (10)), walk(t, id, root) AS (SELECT t, book_id, book_id FROM vectors, cuts UNION SELECT walk.t, y.other, walk.root FROM walk JOIN (SELECT a AS id, b AS other, co_count FROM e UNION ALL SELECT b, a, co_count FROM e) y ON y.id = walk.id AND co_count >= t), c AS (SELECT t, id, min(root) AS component FROM walk GROUP BY 1, 2), s AS (SELECT t, component, count(*) AS n FROM c GROUP BY 1, 2) SELECT t AS threshold, (SELECT count(*) FROM e WHERE co_count >= t) AS edges, (SELECT count(*) FROM (SELECT a FROM e WHERE co_count >= t UNION SELECT b FROM e WHERE co_count >= t)) AS connected_nodes, (SELECT count(*) FROM s WHERE s.t = cuts.t) AS components, round((SELECT max(n) FROM s WHERE s.t = cuts.t) / (SELECT count(*) FROM vectors)::DOUBLE, 6) AS largest_fraction FROM cuts"
+
+
+@query("gra_sensitivity", _CUTS.format(g=_G))
 def gra_sensitivity(spark, sf):
-    return graph.sensitivity(*graph_of(spark, sf), [2, 3, 5, 10])
+    return graph.sensitivity(*graph_of(spark, sf), [2, 3, 5, 10]).withColumn("largest_fraction", F.round("largest_fraction", 6))
 
 
 @query("gra_against_popularity", f"WITH {_G}, n AS (SELECT v.book_id AS id, count(x.id) AS degree, round(coalesce(sum(w), 0), 6) AS m, coalesce(max(c), 0) AS p FROM vectors v LEFT JOIN x ON x.id = v.book_id LEFT JOIN marg ON marg.book_id = v.book_id GROUP BY 1), r AS (SELECT rank() OVER (ORDER BY m) + (count(*) OVER (PARTITION BY m) - 1) / 2.0 AS a, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS b FROM n WHERE degree > 0) SELECT (SELECT round(corr(a, b), 5) FROM r) AS rho, (SELECT count(*) / 20.0::DOUBLE FROM (SELECT id FROM n ORDER BY m DESC, id LIMIT 20) SEMI JOIN (SELECT id FROM n ORDER BY p DESC, id LIMIT 20) USING (id)) AS overlap")

@@ -23,6 +23,13 @@ def size_of(spark: SparkSession, path: str) -> int:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
 
 
+def folders(spark: SparkSession, pattern: str) -> list[str]:
+    """The paths that match a pattern, in order; listed by the driver."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
+    return sorted(str(f.getPath().toString()) for f in found or [])
+
+
 def first_existing(spark: SparkSession, *paths: str) -> str:
     """The first of several paths that exists: the new place, else the legacy one."""
     for p in paths:

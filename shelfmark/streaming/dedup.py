@@ -1,8 +1,9 @@
 """Keep-best deduplication of a stream of interactions, batch by batch.
 
-The blueprint's flows are batch; this applies the same priority to increments. Each micro-batch is merged with the
-rows of the touched hash buckets alone, and the bucket folders are replaced as whole tables of a new version, so a
-repeated batch gives the same table.
+The blueprint's flows are batch; this applies the same priority to increments. Keys are dealt over hash buckets. Batch n
+reads the rows of the buckets that it touches, and writes these buckets, merged, as version n; every other bucket stays
+where it was written last. A batch reads versions before its own alone, so a repeated batch gives the same table. Each
+`WHOLE_EVERY`-th version holds all buckets, and the batch after it removes what is older, so listings and disk stay bounded.
 """
 
 from __future__ import annotations
@@ -12,9 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from shelfmark.operators.curation import clean, keep_best
-from shelfmark.sources.files import exists
+from shelfmark.sources.files import folders, remove
 
 BUCKETS = 64
+#: Versions from one that holds all buckets to the next.
+WHOLE_EVERY = 32
 
 
 def bucket_of(key: str = "interaction_key"):
@@ -27,17 +30,21 @@ def merged(current: DataFrame | None, batch: DataFrame, tie: list) -> DataFrame:
     return keep_best(new if current is None else current.unionByName(new, allowMissingColumns=True), tie)
 
 
-def version(spark: SparkSession, path: str) -> int:
-    """The last whole version under `path`; -1 for none."""
-    n = -1
-    while exists(spark, f"{path}/v{n + 1}/_SUCCESS"):
-        n += 1
-    return n
+def latest(spark: SparkSession, path: str, before: int | None = None) -> dict[int, tuple[int, str]]:
+    """For each bucket the last whole version that holds it, of those earlier than `before`, and its folder."""
+    out: dict[int, tuple[int, str]] = {}
+    done = {int(p.split("/")[-2][1:]) for p in folders(spark, f"{path}/v*/_SUCCESS")}
+    for p in folders(spark, f"{path}/v*/bucket=*"):
+        v, b = int(p.split("/")[-2][1:]), int(p.rsplit("=", 1)[1])
+        if v in done and (before is None or v < before) and v >= out.get(b, (-1, ""))[0]:
+            out[b] = (v, p)
+    return out
 
 
-def current(spark: SparkSession, path: str) -> DataFrame | None:
-    n = version(spark, path)
-    return None if n < 0 else spark.read.parquet(f"{path}/v{n}")
+def current(spark: SparkSession, path: str, before: int | None = None, buckets: list[int] | None = None) -> DataFrame | None:
+    """The winners so far, of some buckets or of all; None before the first row."""
+    found = [p for b, (_, p) in latest(spark, path, before).items() if buckets is None or b in buckets]
+    return spark.read.parquet(*found).withColumn("bucket", bucket_of()) if found else None
 
 
 def keep_best_stream(stream: DataFrame, path: str, checkpoint: str, tie: list, once: bool = True) -> StreamingQuery:
@@ -45,8 +52,13 @@ def keep_best_stream(stream: DataFrame, path: str, checkpoint: str, tie: list, o
 
     def step(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        before = spark.read.parquet(f"{path}/v{n - 1}") if n else None
-        merged(before, batch, tie).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v{n}")
+        whole = n % WHOLE_EVERY == 0
+        touched = None if whole else [r[0] for r in clean(batch).select(bucket_of()).distinct().collect()]  # at most BUCKETS numbers
+        merged(current(spark, path, n, touched), batch, tie).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v{n}")
+        if n % WHOLE_EVERY == 1 and n > 1:  # the whole version before this one is committed, and no batch reads behind it again
+            for p in folders(spark, f"{path}/v*"):
+                if int(p.rsplit("/v", 1)[1]) < n - 1:
+                    remove(spark, p)
 
     w = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w).start()

@@ -202,7 +202,9 @@ def test_graph(spark):
     assert sum(pr.values()) == pytest.approx(1) and max(pr, key=pr.get) == "h" and pr["a"] == pytest.approx(pr["c"])
     s = graph.summary(v, e).first()
     assert (s.nodes, s.edges, s.isolated, s.components) == (5, 3, 1, 2) and s.largest_fraction == 0.8 and s.density == pytest.approx(0.3)
-    assert [r.edges for r in graph.sensitivity(v, e, [2, 5, 10]).orderBy("threshold").collect()] == [3, 2, 0]
+    left = graph.sensitivity(v, e, [2, 5, 10]).orderBy("threshold").collect()
+    assert [(r.edges, r.connected_nodes, r.components, r.largest_fraction) for r in left] == [(3, 4, 2, 0.8), (2, 3, 3, 0.6), (0, 0, 5, 0.2)]
+    assert [(r.components, r.largest_fraction) for r in graph.sensitivity(v.where("false"), e.where("false"), [2]).collect()] == [(0, 0.0)]
     bt = {r.id: r.betweenness for r in graph.betweenness(v, e).collect()}
     assert bt["h"] == pytest.approx(0.5) and bt["a"] == 0
     uniform = graph.pagerank(v, e.where("false"))
@@ -279,6 +281,8 @@ def test_winner_rules(spark):
     s = spark.createDataFrame(base + good, cols)
     assert metrics.grid_winner(s, "B1", "content_only").first().winner == "x"
     assert metrics.ab_winner(s, "B1", "content_only").first().winner == "y"
+    tied = spark.createDataFrame([(*r, c) for r, c in zip(base, (0.5,) * 4)] + [("x", 10, 0.2, 0.2, 0.2, 3.0, 0.1, 0.4), ("z", 10, 0.2, 0.2, 0.2, 3.0, 0.1, 0.6)], f"{cols}, candidate_recall double")
+    assert metrics.ab_winner(tied, "B1", "content_only").first().winner == "z"
     none = spark.createDataFrame(base, cols)
     assert metrics.grid_winner(none, "B1", "content_only").first().winner == metrics.ab_winner(none, "B1", "content_only").first().winner == "content_only"
 

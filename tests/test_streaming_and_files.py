@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from shelfmark.operators.curation import clean, keep_best
 from shelfmark.sources import files
+from shelfmark.streaming import dedup
 from shelfmark.streaming.dedup import current, keep_best_stream
 from tests.test_cases import RAW
 
@@ -26,6 +27,22 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == want
 
 
+def test_stream_leaves_untouched_buckets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(dedup, "WHOLE_EVERY", 4)
+    d = datetime(2015, 1, 1)
+    rows = [(f"u{i % 7}", f"b{i % 5}", None, i % 6, i % 2 == 0, d, datetime(2015, 1, 1 + i % 20), i) for i in range(60)]
+    for k in range(6):
+        spark.createDataFrame(rows[k * 10 : k * 10 + 10], RAW).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+        stream = spark.readStream.schema(RAW).parquet(f"file://{tmp_path}/in")
+        keep_best_stream(stream, f"file://{tmp_path}/out", f"file://{tmp_path}/cp", [F.col("category")]).awaitTermination()
+        all_ = clean(spark.createDataFrame(rows[: k * 10 + 10], RAW))
+        want = sorted((r.interaction_key, r.category) for r in keep_best(all_, [F.col("category")]).collect())
+        assert sorted((r.interaction_key, r.category) for r in current(spark, f"file://{tmp_path}/out").collect()) == want
+        touched = len(list((tmp_path / "out" / f"v{k}").glob("bucket=*")))
+        assert touched == len(dedup.latest(spark, f"file://{tmp_path}/out")) if k % 4 == 0 else touched <= 10
+    assert sorted(p.name for p in (tmp_path / "out").glob("v*")) == ["v4", "v5"]
+
+
 def test_json_lines(spark, tmp_path):
     with gzip.open(tmp_path / "a.json.gz", "wt") as f:
         f.write("\n\n".join(json.dumps({"id": i, "x": {"y": [i]}}) for i in range(10)))
