@@ -138,3 +138,72 @@ def merge_master(books: DataFrame, flags: list[str], order: str = "source_ord")
     first = [F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in rest]
     merged = books.groupBy("book_id").agg(*[F.max(c).cast("int").alias(c) for c in flags], *first)
     return merged.dropna(subset=[c for c in ("title",) if c in rest])
+
+
+#: Readers below which an item counts as new, the years kept, the period bounds and their names.
+COLD_BELOW = 10
+YEARS = (1450, 2026)
+PERIODS = (1450, 1800, 1900, 1950, 1980, 2000, 2010, 2027)
+PERIOD_NAMES = ("1450-1799", "1800-1899", "1900-1949", "1950-1979", "1980-1999", "2000-2009", "2010-2026")
+COUNTS = ("interaction_count", "explicit_rating_count", "review_count", "shelf_only_count", "read_count")
+
+
+def book_activity(df: DataFrame) -> DataFrame:
+    """What readers did with each item: five counts and the mean of the given ratings."""
+    read = F.coalesce("is_read", F.lit(False))
+    return df.groupBy("book_id").agg(
+        F.count("*").alias("interaction_count"),
+        F.count("rating_clean").alias("explicit_rating_count"),
+        F.count_if("has_review_text").alias("review_count"),
+        F.count_if(F.col("engagement_mode") == "want_to_read").alias("shelf_only_count"),
+        F.count_if(read).alias("read_count"),
+        F.avg("rating_clean").alias("mean_user_rating"),
+    )
+
+
+def logged_and_capped(df: DataFrame, values: list[str], share: float = 0.99) -> DataFrame:
+    """Two more columns for each of `values`: its log, and the value cut at the quantile of the whole table; one aggregate for all. Null stays null."""
+    caps = df.agg(*[F.percentile(F.col(c).cast("double"), F.lit(share)).alias(f"_cap_{c}") for c in values])
+    out = df.join(F.broadcast(caps))
+    for c in values:
+        x = F.col(c).cast("double")
+        out = out.withColumn(f"{c}_log1p", F.when(x.isNotNull(), F.log1p(F.greatest(x, F.lit(0.0))))).withColumn(f"{c}_p99_capped", F.when(x.isNotNull(), F.least(x, F.col(f"_cap_{c}"))))
+    return out.drop(*[f"_cap_{c}" for c in values])
+
+
+def curated_books(books: DataFrame, activity: DataFrame, themes: dict[str, list[str]], order: str = "source_ord", shelves: int = 10) -> DataFrame:
+    """Raw item metadata as curated items: one plan from cleaning to cold start.
+
+    `books` has text columns and the arrays `authors` and `shelves`; of rows with one id the first by `order` stays. Years
+    out of range are null, shares are of the whole table, and an item without interactions has zero counts and no mean.
+    """
+    from shelfmark.functions import nested as N
+    from shelfmark.functions import text as X
+
+    first = books.withColumn("_rn", F.row_number().over(Window.partitionBy("book_id").orderBy(order))).where("_rn = 1")
+    b = X.blank_to_null(first.drop("_rn", order))
+    year = X.number("publication_year")
+    names = N.shelf_names(F.col("shelves"), shelves)
+    flags = {t: N.theme_flag(names, words) for t, words in themes.items()}
+    b = b.select(
+        "book_id",
+        X.trimmed("title").alias("title"),
+        X.trimmed("language_code", lower=True).alias("language_code_clean"),
+        X.trimmed("format", lower=True).alias("format_clean"),
+        X.trimmed("publisher", lower=True).alias("publisher_clean"),
+        X.boolean("is_ebook").alias("is_ebook"),
+        F.when(year.between(*YEARS), year).alias("publication_year_clean"),
+        N.author_count(F.col("authors")).alias("author_count"),
+        N.main_author(F.col("authors")).alias("main_author_id"),
+        N.list_count(F.col("shelves")).alias("shelf_count"),
+        N.to_read_count(F.col("shelves"), shelves).alias("to_read_count"),
+        *[v.alias(f"theme_{t}") for t, v in flags.items()],
+        *[X.number(c).alias(c) for c in ("ratings_count", "num_pages")],
+    )
+    b = b.withColumn("publication_period", X.binned("publication_year_clean", list(PERIODS), list(PERIOD_NAMES)))
+    b = b.withColumn("theme_count", sum((F.col(f"theme_{t}").cast("int") for t in flags), F.lit(0)))
+    b = b.join(activity, "book_id", "left").fillna(0, list(COUNTS))
+    n = F.col("interaction_count")
+    b = b.withColumn("is_cold_start_all_books", n < COLD_BELOW).withColumn("is_cold_start_interacted_books", (n > 0) & (n < COLD_BELOW))
+    b = b.withColumn("interaction_confidence_bucket", X.binned(n, [-1, 0, 9, 49, float("inf")], ["none", "low", "medium", "high"], right=True))
+    return logged_and_capped(b, ["ratings_count", "to_read_count", "num_pages", "interaction_count"])

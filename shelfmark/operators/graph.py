@@ -7,7 +7,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.operators.components import connected_components
@@ -179,3 +179,14 @@ def export_edges(edges: DataFrame, ranks: DataFrame, nodes: int = 600, per_node:
     strong = top(ends(inner), per_node, [F.desc(F.round("w", 9)), F.col("other")], over=["id"], rank="_r")
     pairs = strong.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
     return inner.join(pairs, ["a", "b"], "left_semi").select("a", "b", "w")
+
+
+def view(items: DataFrame, edges: DataFrame, least: float, flag: Column | None = None) -> DataFrame:
+    """(a, b, w): the edges shown by a viewer: of at least this weight, and between items that the flag shows."""
+    shown = edges.where(F.col("w") >= least)
+    if flag is None:
+        return shown
+    ids = items.where(flag).select("book_id")
+    for end in ("a", "b"):
+        shown = shown.join(ids.withColumnRenamed("book_id", end), end, "left_semi")
+    return shown.select("a", "b", "w")

@@ -145,3 +145,11 @@ def ab_winner(summary: DataFrame, baseline: str, content: str, k: int = 10) -> D
     order = [F.desc(c) for c in ("ndcg", "recall", "candidate_recall") if c in summary.columns]
     best = met.where(ok).orderBy(*order, "system").limit(1)
     return best.agg(F.coalesce(F.max("system"), F.lit(content)).alias("winner"))
+
+
+def signal_rows(results: DataFrame, signal: str = "cooccurrence") -> DataFrame | None:
+    """The label, system, k, recall and NDCG of one signal's rows in a table of results; None where it lacks the columns."""
+    if not {"collaborative_signal", "system"} <= set(results.columns):
+        return None
+    told = [c for c in ("config_label", "system", "k", "recall", "ndcg") if c in results.columns]
+    return results.where(F.col("collaborative_signal") == signal).select(*told)

@@ -112,3 +112,33 @@ def flag_overlaps(df: DataFrame, flags: list[str]) -> DataFrame:
 def first_true(flags: dict[str, Column]) -> Column:
     """The name of the first flag that is set, in the order given."""
     return F.coalesce(*[F.when(v, F.lit(k)) for k, v in flags.items()], F.lit("other"))
+
+
+def schema_summary(df: DataFrame) -> DataFrame:
+    """(column, type, n_present): the declared type of each column and its non-null values, in one aggregate."""
+    rows = [F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"), F.count(f.name).alias("n_present")) for f in df.schema]
+    return df.agg(F.array(*rows).alias("_a")).select(F.explode("_a").alias("s")).select("s.*")
+
+
+def full(books_raw: DataFrame, books: DataFrame, raw: DataFrame, clean: DataFrame, keys: dict[str, tuple[str, list[str]]], book_numbers: list[str], numbers: list[str], more: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Every profile of a catalogue and its interactions by name, `summary` among them; each is a plan, run where it is read.
+
+    `keys` names duplicate checks, each of the table `books` or `interactions` and its columns; `more` adds profiles that
+    need columns of their own, such as those of authors, shelves or series.
+    """
+    both = {"books": (books_raw, books, book_numbers), "interactions": (raw, clean, numbers)}
+    out: dict[str, DataFrame] = {}
+    for name, (before, after, values) in both.items():
+        out |= {f"{name}_schema": schema_summary(before), f"{name}_missing": missing_summary(before), f"{name}_numeric": describe(after, values), f"{name}_outliers": iqr_outliers(after, values)}
+    out["duplicates"] = reduce(DataFrame.unionByName, [duplicate_counts(both[table][1], {key: columns}) for key, (table, columns) in keys.items()])
+    out["user_types"] = user_types(clean)
+    taken = set(out) & set(more) | {"summary"} & set(more)
+    if taken:
+        raise ValueError(f"profile names are taken: {', '.join(sorted(taken))}")
+    out |= more
+    count = lambda df, name: df.agg(F.lit(name).alias("metric"), F.count("*").cast("double").alias("value"))
+    rated = clean.agg(F.lit("explicit_rating_pct").alias("metric"), F.coalesce(F.count("rating_clean") / F.nullif(F.count("*"), F.lit(0)), F.lit(0.0)).alias("value"))
+    width = books_raw.sparkSession.createDataFrame([("books_columns", float(len(books_raw.columns))), ("interactions_columns", float(len(raw.columns)))], "metric string, value double")
+    rows = [count(books_raw, "books_raw_rows"), count(raw, "interactions_raw_rows"), count(books, "books_clean_rows"), count(clean, "interactions_clean_rows"), rated, width]
+    out["summary"] = reduce(DataFrame.unionByName, rows)
+    return out

@@ -11,10 +11,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.operators import metrics, rank, retrieve, temporal, users, windows
+from shelfmark.operators import cluster, features, metrics, rank, recommend, retrieve, temporal, users, windows
 from shelfmark.plans import fixtures as fx
 from shelfmark.plans.q_curation import canonical as best
-from shelfmark.plans.q_ranking import _RECS, _SEG, FLOOR, cands, collaborative, pool, popularity, popular_items, read, recs, relevant, segmented, signals, single_modes, train, user_masks
+from shelfmark.plans.q_ranking import _COLLAB, _HYBRID, _RECS, _SEG, FLAGS, FLOOR, _hybrid_sql, _pct, cands, collaborative, pool, popularity, popular_items, read, recs, relevant, segmented, signals, single_modes, train, user_masks, with_duration
 from shelfmark.store import written
 
 Q: dict = {}
@@ -76,30 +76,86 @@ def grid(spark, sf):
     return metrics.full_summary(written(union([baseline(spark, sf), content(spark, sf), *runs]), "lists"), relevant(spark, sf), segmented(spark, sf))
 
 
-@query("exp_ranker_grid")
+_MEANS = ("precision", "recall", "ndcg", "average_precision")
+_SHOWN = (*_MEANS, "novelty", "mean_log_popularity", "tail_share", "head_share", "coverage", "tail_coverage")
+_PER = _RECS[_RECS.index("relv AS") :]
+
+
+def _summary_sql(before: str, runs: dict[str, str]) -> str:
+    """CTEs up to `summary`: the baseline, the content list and the given runs, CTEs of (user_id, book_id, rank), evaluated together."""
+    ks = "(VALUES (5), (10)) AS ks(k) WHERE rank <= k"
+    lists = {"B1_popularity": "base", "content_only": "cont", **runs}
+    return f"""{before},
+bpop AS (SELECT i.book_id, ln(1 + coalesce(n, 0)) * coalesce(mean_rating, 0) AS score FROM items i LEFT JOIN (SELECT book_id, count(rating_clean) AS n, avg(rating_clean) AS mean_rating FROM train GROUP BY 1) USING (book_id)),
+bus AS (SELECT DISTINCT user_id FROM train JOIN bpop USING (book_id)),
+base AS (SELECT * FROM (SELECT u.user_id, p.book_id, row_number() OVER (PARTITION BY u.user_id ORDER BY round(p.score, 9) DESC, p.book_id) AS rank FROM bus u, bpop p WHERE NOT EXISTS (SELECT 1 FROM consumed c WHERE c.user_id = u.user_id AND c.book_id = p.book_id)) WHERE rank <= 10),
+cont AS (SELECT * FROM (SELECT user_id, book_id, row_number() OVER (PARTITION BY user_id ORDER BY round(relevance, 9) DESC, book_id) AS rank FROM rel) WHERE rank <= 10),
+recs AS ({' UNION ALL '.join(f"SELECT user_id, '{name}' AS system, k, CAST(rank AS INTEGER) AS rank, book_id FROM {cte}, {ks}" for name, cte in lists.items())}),
+{_PER}{_SEG},
+m AS (SELECT system, k, count(DISTINCT user_id) AS users, {', '.join(f'avg("{c}") AS "{c}"' for c in _MEANS)} FROM per GROUP BY 1, 2),
+nv AS (SELECT system, k, avg(-log2((n + 1) / (SELECT (sum(n) + count(*))::DOUBLE FROM seg))) AS novelty, avg(ln(1 + n)) AS mean_log_popularity, avg(CAST(segment = 'tail' AS INTEGER)) AS tail_share, avg(CAST(segment = 'head' AS INTEGER)) AS head_share FROM recs JOIN seg USING (book_id) GROUP BY 1, 2),
+cv AS (SELECT system, k, count(*) / (SELECT count(*) FROM seg)::DOUBLE AS coverage, count(*) FILTER (segment = 'tail') / (SELECT count(*) FROM seg WHERE segment = 'tail')::DOUBLE AS tail_coverage FROM (SELECT DISTINCT system, k, book_id FROM recs) JOIN seg USING (book_id) GROUP BY 1, 2),
+summary AS (SELECT * FROM m JOIN nv USING (system, k) JOIN cv USING (system, k))"""
+
+
+_ROUNDED = f"SELECT system, k, users, {', '.join(f'round({chr(34)}{c}{chr(34)}, 6) AS {chr(34)}{c}{chr(34)}' for c in _SHOWN)} FROM summary"
+_BEATS = "s.recall > b.recall AND s.ndcg > b.ndcg AND s.coverage >= b.coverage AND s.novelty >= b.novelty AND s.tail_coverage >= b.tail_coverage"
+
+
+def rounded(summary: DataFrame) -> DataFrame:
+    return summary.select("system", "k", "users", *[F.round(c, 6).alias(c) for c in _SHOWN])
+
+
+def _grid_sql() -> str:
+    steps, runs = [_HYBRID], {}
+    for i, w in enumerate(GRID):
+        ctes = _hybrid_sql(w.content, w.popularity, w.genre, w.cooccurrence, w.neighbours)
+        for name in ("sc AS", "rep AS", "ranked AS"):
+            ctes = ctes.replace(name, name.replace(" AS", f"{i} AS"))
+        steps.append(ctes.replace("FROM sc)", f"FROM sc{i})").replace("FROM rep ", f"FROM rep{i} "))
+        runs[f"content={w.content},popularity={w.popularity}"] = f"ranked{i}"
+    return _summary_sql(", ".join(steps), runs)
+
+
+_GRID_SQL = _grid_sql()
+
+
+@query("exp_ranker_grid", f"WITH {_GRID_SQL} {_ROUNDED}")
 def exp_grid(spark, sf):
-    return grid(spark, sf)
+    return rounded(grid(spark, sf))
 
 
-@query("exp_grid_winner")
+@query("exp_grid_winner", f"WITH {_GRID_SQL}, good AS (SELECT s.system FROM summary s JOIN summary b ON b.k = s.k AND b.system = 'B1_popularity' WHERE s.system NOT IN ('B1_popularity', 'content_only') GROUP BY 1 HAVING count(*) FILTER ({_BEATS}) = 2) SELECT coalesce((SELECT system FROM summary SEMI JOIN good USING (system) WHERE k = 10 ORDER BY ndcg DESC, recall DESC, coverage DESC, novelty DESC, system LIMIT 1), 'content_only') AS winner")
 def exp_grid_winner(spark, sf):
     return metrics.grid_winner(written(grid(spark, sf), "grid"), "B1_popularity", "content_only")
 
 
 def collaborative_ab(spark, sf):
     c, modes, score = collaborative(spark, sf)
-    rel = retrieve.relevance(c, modes, fx.taste(spark, sf)).withColumnRenamed("relevance", "content")
-    both = written(rel.join(score.withColumnRenamed("score", "collaborative"), ["user_id", "book_id"]), "ab-pool")
+    rel = retrieve.relevance(c, modes, fx.taste(spark, sf)).select("user_id", "book_id", F.round("relevance", 7).alias("content"))
+    both = written(rel.join(score.select("user_id", "book_id", F.round("score", 7).alias("collaborative")), ["user_id", "book_id"]), "ab-pool")
     runs = [at_ks(windows.top(rank.blend(both, a), 10, [F.desc(F.round("blend", 9)), F.col("book_id")], over=["user_id"]), f"cooccurrence_alpha={a:.1f}") for a in ALPHAS]
     return metrics.full_summary(written(union([baseline(spark, sf), content(spark, sf), *runs]), "lists"), relevant(spark, sf), segmented(spark, sf))
 
 
-@query("exp_collaborative_ab")
+def _ab_sql() -> str:
+    steps, runs = [_COLLAB, "j AS (SELECT user_id, book_id, round(relevance, 7) AS content, round(score, 7) AS collaborative FROM rel JOIN collab USING (user_id, book_id))"], {}
+    steps.append(f"pct AS (SELECT user_id, book_id, {_pct('content')} AS c, {_pct('collaborative')} AS o FROM j)")
+    for i, a in enumerate(ALPHAS):
+        steps.append(f"ranked{i} AS (SELECT * FROM (SELECT user_id, book_id, row_number() OVER (PARTITION BY user_id ORDER BY round({a} * c + (1 - {a}) * o, 9) DESC, book_id) AS rank FROM pct) WHERE rank <= 10)")
+        runs[f"cooccurrence_alpha={a:.1f}"] = f"ranked{i}"
+    return _summary_sql(", ".join(steps), runs)
+
+
+_AB_SQL = _ab_sql()
+
+
+@query("exp_collaborative_ab", f"WITH {_AB_SQL} {_ROUNDED}")
 def exp_ab(spark, sf):
-    return collaborative_ab(spark, sf)
+    return rounded(collaborative_ab(spark, sf))
 
 
-@query("exp_collaborative_winner")
+@query("exp_collaborative_winner", f"WITH {_AB_SQL}, ten AS (SELECT * FROM summary WHERE k = 10) SELECT coalesce((SELECT s.system FROM ten s, ten b, ten c WHERE b.system = 'B1_popularity' AND c.system = 'content_only' AND s.system NOT IN (b.system, c.system) AND {_BEATS} AND s.recall >= c.recall AND s.ndcg >= c.ndcg ORDER BY s.ndcg DESC, s.recall DESC, s.system LIMIT 1), 'content_only') AS winner")
 def exp_ab_winner(spark, sf):
     return metrics.ab_winner(written(collaborative_ab(spark, sf), "ab"), "B1_popularity", "content_only")
 
@@ -127,17 +183,44 @@ def exp_ablation(spark, sf):
     return metrics.full_summary(written(union(runs), "lists"), relevant(spark, sf), segmented(spark, sf))
 
 
+SNAPSHOTS = ("1996-01-01", "1998-01-01", "2000-01-01")
+
+
+def refitted(spark, sf, known: DataFrame, at, clusters: int = 10, macros: int = 4) -> DataFrame:
+    """Ten items a reader by the model as it would have stood at one date.
+
+    Features, components, clusters, macros, segments and profiles are all fitted to the items available then and to
+    `known`, the interactions up to then; nothing later is read.
+    """
+    seen = temporal.popularity_as_of(known, at, FLOOR)
+    then = temporal.available(fx.items(spark, sf), seen, at).where("available").drop("available", "first_seen")
+    counted = seen.select("book_id", F.col("n").alias("ratings_count"), F.col("mean_rating").alias("average_rating"), F.col("n_reviews").alias("reviews_count"))
+    texts = fx.vectors(spark, sf).select("book_id", F.col("vec").alias("text_vec"))
+    items = written(then.join(counted, "book_id", "left").join(texts, "book_id").withColumn("author_count", F.lit(1)), "snapshot-items")
+    blocks = written(features.joined_blocks([(features.numeric_block(items, FLAGS), "num"), (features.binary_block(items, FLAGS, "language", 3), "bin"), (items.select("book_id", "text_vec"), "text_vec")]), "snapshot-blocks")
+    components, _ = features.fit_pca(blocks)
+    v = written(features.project(blocks, components).select("book_id", "vec"), "snapshot-vectors")
+    centres = cluster.centres_of(spark, cluster.fit_kmeans(v, clusters))
+    labels = cluster.assign(v, centres).select("book_id", "cluster").join(F.broadcast(cluster.macros(centres, macros)), "cluster")
+    placed = items.drop("text_vec").join(v, "book_id").join(labels, "book_id").withColumn("genres", F.array(*[F.col(f) == 1 for f in FLAGS]))
+    catalogue = written(recommend.with_segments(placed, popularity(known)), "snapshot-catalogue")
+    modes = written(recommend.profiles(with_duration(known), v, centres), "snapshot-profiles")
+    return recommend.from_modes(modes, catalogue, known.where("is_read"), rank.Config())
+
+
 @query("exp_backtest")
 def exp_backtest(spark, sf):
-    """Popularity refitted at three cutoffs, each evaluated on what came after it; aggregates alone are compared."""
+    """Popularity and the model refitted at three cutoffs, each evaluated on what came after it; aggregates alone are compared."""
     b, out = best(spark, sf), []
-    for cut in ("1996-01-01", "1998-01-01", "2000-01-01"):
+    for cut in SNAPSHOTS:
         at = F.lit(cut).cast("timestamp")
-        known = b.where(F.col("date_added") <= at)
-        items = fx.items(spark, sf).join(temporal.popularity_as_of(b, at, FLOOR), "book_id", "left").select("book_id", F.coalesce("n", F.lit(0)).alias("n"), "mean_rating")
+        known = written(b.where(F.col("date_added") <= at), "snapshot-known")
+        items = fx.items(spark, sf).join(temporal.popularity_as_of(known, at, FLOOR), "book_id", "left").select("book_id", F.coalesce("n", F.lit(0)).alias("n"), "mean_rating")
         lists = at_ks(rank.popularity_top(known, items, known.where("is_read"), 10), "B1_popularity", (10,))
+        model = at_ks(refitted(spark, sf, known, at), "model", (10,))
         rel = users.positives(b.where(F.col("date_added") > at))
-        out.append(metrics.by_system(metrics.ranking(lists, rel), ["recall", "ndcg"]).withColumn("cutoff", F.lit(cut)))
+        both = written(lists.unionByName(model), "snapshot-lists")
+        out.append(metrics.by_system(metrics.ranking(both, rel), ["recall", "ndcg"]).withColumn("cutoff", F.lit(cut)))
     return union(out)
 
 

@@ -86,3 +86,24 @@ def markdown(rows: DataFrame, limit: int = 200) -> str:
         raise ValueError(f"a report table has {limit} rows at most")
     cell = lambda v: "" if v is None else f"{v:.6g}" if isinstance(v, float) else str(v)
     return "\n".join(["| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns), *["| " + " | ".join(cell(v) for v in r) + " |" for r in got]])
+
+
+def csv_table(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
+    """CSV with a header, by an explicit schema; a value that does not fit is null. Quotes are doubled within quotes."""
+    return spark.read.schema(schema).options(header=True, escape='"', multiLine=True, enforceSchema=True).csv(path)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    write(df, path, "csv", header="true", escape='"')
+
+
+def chart(rows: DataFrame, x: str, y: str, mark: str = "bar", limit: int = 1000) -> str:
+    """A small table as a Vega-Lite description, data included; beyond the limit it is refused."""
+    import json
+
+    got = rows.select(x, y).limit(limit + 1).collect()
+    if len(got) > limit:
+        raise ValueError(f"a chart has {limit} rows at most")
+    kind = lambda c: "quantitative" if isinstance(rows.schema[c].dataType, T.NumericType) else "nominal"
+    enc = {axis: {"field": c, "type": kind(c)} for axis, c in (("x", x), ("y", y))}
+    return json.dumps({"$schema": "https://vega.github.io/schema/vega-lite/v5.json", "mark": mark, "encoding": enc, "data": {"values": [r.asDict() for r in got]}}, default=str)
