@@ -20,8 +20,6 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.store import written
-
 #: Characters of labelled text for each language, in expectation.
 TRAIN_CHARS = 4_000_000
 #: Characters of labelled text in all, in expectation; where there are many languages, each has an equal part of it.
@@ -82,7 +80,7 @@ def _grams(padded: Column, n: int) -> Column:
 def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", train_chars: int = TRAIN_CHARS, total_chars: int = TOTAL_CHARS, known_words: int = KNOWN_WORDS, seed: int = 5) -> Model:
     """A model of the rows of `labelled`; rows with a null text, key or language teach nothing. No rows give a model without languages.
 
-    Words and their grams are counted on the cluster; what comes to the driver is counts of at most `total_chars` characters.
+    Words and their grams are counted on the cluster, in one job; what comes to the driver is counts of at most `total_chars` characters.
     """
     rows = labelled.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang")).dropna()
     # one small row for each language
@@ -94,9 +92,12 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     rates = F.create_map(*[x for k in names for x in (F.lit(k), F.lit(min(1.0, each / max(1, volume[k]))))])
     drawn = F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(1 << 30)) / float(1 << 30) < F.try_element_at(rates, F.col("lang"))
     words = rows.where(drawn).select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(LETTERS), 0)).alias("key"))
-    counted = written(words.groupBy("lang", "key").agg(F.count("*").alias("count")), "langid-words")
-    found = counted.toArrow().to_pandas()
-    keys, table = _counts(found, names)
+    counted = words.groupBy("lang", "key").agg(F.count("*").alias("count"))
+    marked = F.concat(F.lit("<"), F.col("key"), F.lit(">"))
+    whole = F.array(F.struct(F.lit(0).alias("n"), F.col("key").alias("key")))  # a word itself, beside its grams
+    parts = counted.select("lang", "count", F.inline(F.concat(whole, *[_grams(marked, n) for n in ORDERS])))
+    found = parts.groupBy("lang", "n", "key").agg(F.sum("count").alias("count")).toArrow().to_pandas()
+    keys, table = _counts(found[found["n"] == 0], names)
     total = table.sum(axis=0)
     top: set[int] = set()
     for i in range(len(names)):  # the keys are in order already, so ties go to the first
@@ -104,11 +105,9 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
         top |= set(ranked[table[ranked, i] >= LEAST].tolist())
     known = sorted(top)
     ids, scores = _log_share([keys[k] for k in known], table[known], total)
-    marked = F.concat(F.lit("<"), F.col("key"), F.lit(">"))
-    grams = counted.select("lang", "count", F.inline(F.concat(*[_grams(marked, n) for n in ORDERS]))).groupBy("lang", "n", "key").agg(F.sum("count").alias("count")).toArrow().to_pandas()
     pairs = []
     for n in ORDERS:
-        of, counts = _counts(grams[grams["n"] == n], names)
+        of, counts = _counts(found[found["n"] == n], names)
         pairs.append(_log_share(of, counts, counts.sum(axis=0)))
     return Model(names, ids, scores, [p[0] for p in pairs], [p[1] for p in pairs])
 
