@@ -9,6 +9,7 @@ from tests.oracle import rows
 SF = "/root/testdata/sf0.001"
 BESIDE = [
     "rnk_relevance",
+    "coo_percentile_blend",
 ]
 
 
