@@ -10,6 +10,7 @@ SF = "/root/testdata/sf0.001"
 BESIDE = [
     "rnk_relevance",
     "coo_percentile_blend",
+    "rnk_mmr",
 ]
 
 
