@@ -11,6 +11,7 @@ BESIDE = [
     "rnk_relevance",
     "coo_percentile_blend",
     "rnk_mmr",
+    "rnk_slots",
 ]
 
 
