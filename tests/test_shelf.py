@@ -12,6 +12,7 @@ BESIDE = [
     "coo_percentile_blend",
     "rnk_mmr",
     "rnk_slots",
+    "eva_slot_metrics",
 ]
 
 
