@@ -13,6 +13,7 @@ BESIDE = [
     "rnk_mmr",
     "rnk_slots",
     "eva_slot_metrics",
+    "ret_candidates",
 ]
 
 
