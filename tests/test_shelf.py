@@ -14,6 +14,7 @@ BESIDE = [
     "rnk_slots",
     "eva_slot_metrics",
     "ret_candidates",
+    "eva_candidate_recall",
 ]
 
 
