@@ -15,6 +15,7 @@ BESIDE = [
     "eva_slot_metrics",
     "ret_candidates",
     "eva_candidate_recall",
+    "coo_candidates",
 ]
 
 
