@@ -16,6 +16,7 @@ BESIDE = [
     "ret_candidates",
     "eva_candidate_recall",
     "coo_candidates",
+    "coo_max_pmi",
 ]
 
 
