@@ -17,6 +17,7 @@ BESIDE = [
     "eva_candidate_recall",
     "coo_candidates",
     "coo_max_pmi",
+    "exp_collaborative_ab",
 ]
 
 
