@@ -18,6 +18,7 @@ BESIDE = [
     "coo_candidates",
     "coo_max_pmi",
     "exp_collaborative_ab",
+    "exp_collaborative_winner",
 ]
 
 
