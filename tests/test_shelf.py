@@ -1,8 +1,10 @@
 """Queries over all candidates of a reader: pairs of reader and item are neither joined nor exchanged, and both ways agree."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from shelfmark.operators import retrieve, shelf
+from shelfmark.operators import rank, retrieve, shelf
 from shelfmark.plans import registry
 from tests.oracle import rows
 
@@ -19,6 +21,7 @@ BESIDE = [
     "coo_max_pmi",
     "exp_collaborative_ab",
     "exp_collaborative_winner",
+    "exp_ablation",
 ]
 
 
@@ -35,3 +38,15 @@ def test_no_pairs_are_joined(spark, monkeypatch, name):
     monkeypatch.setattr(retrieve, "candidates", refuse)
     monkeypatch.setattr(retrieve, "relevance", refuse)
     assert rows(r.asDict() for r in registry.QUERIES[name](spark, SF).collect()) == want
+
+
+@pytest.mark.parametrize("trade", [0.5, 0.7, 0.9])
+def test_picks_among_the_most_relevant_hold_for_all(trade):
+    rng = np.random.default_rng(1)
+    for narrow in (1.0, 0.01):
+        vec, rel, genres = rng.normal(size=(3000, 8)), 0.5 + narrow * rng.random(3000), rng.random((3000, 5)) < 0.3
+        vec[100:900], rel[100:900] = vec[100], rel[100]
+        s = shelf.Shelf(pa.array([str(i) for i in range(3000)]), vec, np.arange(1), np.zeros(3000, int), vec[:1], {"genres": genres})
+        rows = np.arange(3000)
+        want = rank.greedy(np.round(rel, 12), s.units(rows), genres, 10, trade, 0.15)[0]
+        assert list(shelf.diverse(s, rows, rel, 10, trade, 0.15)) == want
