@@ -22,6 +22,7 @@ BESIDE = [
     "exp_collaborative_ab",
     "exp_collaborative_winner",
     "exp_ablation",
+    "rec_routed",
 ]
 
 
