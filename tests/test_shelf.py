@@ -23,6 +23,7 @@ BESIDE = [
     "exp_collaborative_winner",
     "exp_ablation",
     "rec_routed",
+    "rec_explained",
 ]
 
 
