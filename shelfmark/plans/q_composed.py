@@ -183,8 +183,8 @@ def rec_sample(spark, sf):
     """Lists of the readers whose id 20 divides, and the cold start list of a reader without history."""
     from shelfmark.operators.recommend import sample
 
-    known = written(_profiles(spark, sf), "profiles")
-    asked = known.select("user_id").where(F.col("user_id").cast("long") % 20 == 0)
+    known = written(_profiles(spark, sf, F.col("user_id").cast("long") % 20 == 0), "profiles")
+    asked = known.select("user_id")
     return sample(asked, known, _items(spark, sf), fx.taste(spark, sf), read(spark, sf), rank.Config())
 
 

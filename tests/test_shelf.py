@@ -24,6 +24,7 @@ BESIDE = [
     "exp_ablation",
     "rec_routed",
     "rec_explained",
+    "rec_sample",
 ]
 
 
