@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from shelfmark.operators import rank, retrieve, shelf
+from shelfmark.operators import knn, rank, retrieve, shelf
 from shelfmark.plans import registry
 from tests.oracle import rows
 
@@ -25,6 +25,9 @@ BESIDE = [
     "rec_routed",
     "rec_explained",
     "rec_sample",
+    "rnk_hybrid",
+    "exp_ranker_grid",
+    "exp_grid_winner",
 ]
 
 
@@ -53,3 +56,27 @@ def test_picks_among_the_most_relevant_hold_for_all(trade):
         rows = np.arange(3000)
         want = rank.greedy(np.round(rel, 12), s.units(rows), genres, 10, trade, 0.15)[0]
         assert list(shelf.diverse(s, rows, rel, 10, trade, 0.15)) == want
+
+
+def test_first_titles_and_ties():
+    titles = np.array(["a", "a", "", "", "b", "a", None, "b"], dtype=object)
+    assert shelf.first_titles(np.arange(8), titles, 4) == [0, 2, 3, 4]
+    assert shelf.first_titles(np.arange(8), titles, 7) == [0, 2, 3, 4, 6, 1, 5]
+    assert list(shelf.half_up(np.array([0.0001953125, -0.5, 2.5]), 9)) == [0.000195313, -0.5, 2.5]
+    x = np.array([3.0, 0.0, 0.0, 7.0, 3.0])
+    found, at = np.unique(x, return_inverse=True)
+    assert list(shelf.percentile_of(at, len(found) + 2)) == list(shelf.percentile(x))
+
+
+def test_neighbours_of_many_batches_are_those_of_one(spark):
+    rng = np.random.default_rng(2)
+    vec = rng.integers(-2, 3, size=(400, 3)).astype(float)  # many ties
+    t = spark.createDataFrame([(f"u{i}", v.tolist()) for i, v in enumerate(vec)], "user_id string, vec array<double>").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    ask = lambda: sorted(map(tuple, knn.neighbours(t.where("user_id like '%7'"), t, 5).collect()))
+    one = ask()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert ask() == one and len(one) == 200
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
