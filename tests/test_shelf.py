@@ -4,7 +4,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from shelfmark.operators import knn, rank, retrieve, shelf
+from pyspark.sql import functions as F
+
+from shelfmark.operators import features, knn, rank, retrieve, shelf, users
 from shelfmark.plans import registry
 from tests.oracle import rows
 
@@ -58,6 +60,52 @@ def test_picks_among_the_most_relevant_hold_for_all(trade):
         assert list(shelf.diverse(s, rows, rel, 10, trade, 0.15)) == want
 
 
+def test_picks_start_once(monkeypatch):
+    rng = np.random.default_rng(3)
+    vec, rel, genres = rng.normal(size=(2000, 8)), 0.5 + 0.01 * rng.random(2000), rng.random((2000, 5)) < 0.3
+    s = shelf.Shelf(pa.array([str(i) for i in range(2000)]), vec, np.arange(1), np.zeros(2000, int), vec[:1], {"genres": genres})
+    want = rank.greedy(np.round(rel, 12), s.units(np.arange(2000)), genres, 10, 0.7, 0.15)[0]
+    monkeypatch.setattr(rank, "greedy", refuse)
+    assert list(shelf.diverse(s, np.arange(2000), rel, 10, 0.7, 0.15)) == want
+    assert list(shelf.diverse(s, np.arange(5), rel[:5], 10, 0.7, 0.15))[0] == int(rel[:5].argmax())
+
+
+def test_lloyd_keeps_its_starts_and_rounds():
+    def plain(x, k, seed, starts=10):
+        rng, best = np.random.default_rng(seed), None
+        for _ in range(starts):
+            c = x[[rng.integers(len(x))]]
+            while len(c) < k:
+                d = ((x[:, None] - c[None]) ** 2).sum(-1).min(1)
+                c = np.vstack([c, x[rng.choice(len(x), p=d / d.sum()) if d.sum() else rng.integers(len(x))]])
+            for _ in range(100):
+                d = ((x[:, None] - c[None]) ** 2).sum(-1)
+                new = np.array([x[d.argmin(1) == j].mean(0) if (d.argmin(1) == j).any() else x[d.min(1).argmax()] for j in range(k)])
+                if np.allclose(new, c):
+                    break
+                c = new
+            d = ((x[:, None] - c[None]) ** 2).sum(-1)
+            if best is None or d.min(1).sum() < best[0]:
+                best = d.min(1).sum(), c, d.argmin(1)
+        return best[1:]
+
+    rng = np.random.default_rng(4)
+    for i in range(30):
+        x = rng.normal(size=(6 + i, 7)) if i % 3 else rng.integers(0, 2, size=(6 + i, 2)).astype(float)
+        for got, want in zip(users.lloyd(x, 2 + i % 3, 42), plain(x, 2 + i % 3, 42), strict=True):
+            assert np.array_equal(got, want)
+
+
+def test_projection_takes_no_call_a_number(spark, monkeypatch):
+    c = np.array([[1.0, -2.5e-7], [0.1, 1e22], [-3.0, 0.0]])
+    df = spark.createDataFrame([("a", [1.0, 2.0, 3.0]), ("b", [0.5, 0.0, -1.0])], "book_id string, features array<double>")
+    real, calls = F.lit, []
+    monkeypatch.setattr(features.F, "lit", lambda x: calls.append(x) or real(x))
+    got = {r.book_id: r.vec for r in features.project(df, c).collect()}
+    assert len(calls) <= c.shape[1]
+    assert np.allclose([got["a"], got["b"]], np.array([[1.0, 2.0, 3.0], [0.5, 0.0, -1.0]]) @ c, rtol=1e-12)
+
+
 def test_first_titles_and_ties():
     titles = np.array(["a", "a", "", "", "b", "a", None, "b"], dtype=object)
     assert shelf.first_titles(np.arange(8), titles, 4) == [0, 2, 3, 4]
