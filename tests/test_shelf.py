@@ -1,13 +1,16 @@
 """Queries over all candidates of a reader: pairs of reader and item are neither joined nor exchanged, and both ways agree."""
 
+import time
+
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
 
-from shelfmark.operators import features, knn, rank, retrieve, shelf, users
-from shelfmark.plans import registry
+from shelfmark import store
+from shelfmark.operators import cooc, features, knn, metrics, rank, recommend, retrieve, shelf, users
+from shelfmark.plans import fixtures, q_curation, registry
 from tests.oracle import rows
 
 SF = "/root/testdata/sf0.001"
@@ -128,3 +131,80 @@ def test_neighbours_of_many_batches_are_those_of_one(spark):
         assert ask() == one and len(one) == 200
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("|")
+    return {f for f in files.split("|") if "shuffle_" in f}
+
+
+def test_written_tables_leave_no_exchange_on_disk(spark):
+    before, setting = shuffle_files(spark), spark.conf.get(store._CLEANUP, None)
+    t = store.written(spark.range(5000).groupBy((F.col("id") % 7).alias("g")).count(), "t")
+    for _ in range(50):
+        if not shuffle_files(spark) - before:
+            break
+        time.sleep(0.1)
+    assert not shuffle_files(spark) - before
+    assert t.count() == 7 and spark.conf.get(store._CLEANUP, None) == setting
+
+
+def test_canonical_rows_travel_as_numbers(spark):
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = q_curation.best(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert plan.count("Exchange hashpartitioning") == 3
+    below = plan[plan.index("REPARTITION_BY_COL") :]
+    assert "engagement_mode" not in below and "AS user_id" not in below
+
+
+def test_dates_are_whole_again(spark):
+    told = ["1969-12-31 23:59:59.999999", "1995-06-17 00:00:00", "2300-01-02 03:04:05.678901", "0001-01-01 00:00:00", "9999-12-31 23:59:59.999999"]
+    df = spark.createDataFrame([(x,) for x in told], "s string").select(F.col("s").cast("timestamp").alias("t"))
+    for date in (df, df.select(F.col("t").cast("timestamp_ntz").alias("t")), spark.sql("SELECT CAST(NULL AS TIMESTAMP) AS t")):
+        got = date.select(F.col("t").cast("timestamp").alias("t"), *fixtures._parted("t", "x")).select("t", fixtures._whole("x").alias("u"))
+        assert got.where("not (t <=> u)").count() == 0
+
+
+HISTORY = [("a", "x", True, 5.0), ("a", "y", True, 4.0), ("a", "y", True, 5.0), ("a", "z", False, None), ("b", "y", False, 4.0), ("c", "none", True, 5.0), ("d", None, True, 4.0), ("d", "z", True, 1.0), (None, "x", True, 5.0), ("e", "x", None, 2.0)] + [(f"u{i}", b, True, 5.0) for i in range(4) for b in "xyz"]
+
+
+def test_popularity_beside_the_reader(spark):
+    h = spark.createDataFrame(HISTORY, "user_id string, book_id string, is_read boolean, rating_clean double")
+    items = spark.createDataFrame([(b, n, m) for b, n, m in (("x", 3, 4.0), ("y", 5, None), ("z", 3, 4.0), ("w", 0, None), ("v", 9, 5.0))], "book_id string, n long, mean_rating double")
+    met = h.join(items.select("book_id"), "book_id").select("user_id")
+    for k in (1, 2, 10):
+        want = rows(r.asDict() for r in rank.popularity_top(met, items, h.where("is_read"), k).select("user_id", "book_id", "rank").collect())
+        assert rows(r.asDict() for r in shelf.popular_unread(shelf.grouped(h), items, k).collect()) == want
+    assert shelf.popular_unread(shelf.grouped(h), items.union(items), 2) is None
+
+
+def test_pairs_of_lists(spark):
+    h = spark.createDataFrame(HISTORY, "user_id string, book_id string, is_read boolean, rating_clean double")
+    for cap in (200, 2):
+        want = rows(r.asDict() for r in cooc.pairs(users.positives(h), cap, order=F.col("book_id")).collect())
+        assert rows(r.asDict() for r in cooc.pairs(users.positives(h), cap).collect()) == want
+        assert rows(r.asDict() for r in cooc.pairs_of(shelf.liked_of(shelf.grouped(h)), cap).collect()) == want
+
+
+def test_lists_are_dealt_by_reader_once(spark):
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        recs = spark.createDataFrame([("a", "s", 2, 1, "x"), ("a", "s", 2, 2, "y"), ("b", "s", 2, 1, "x"), ("q", "s", 2, 1, None)], "user_id string, system string, k int, rank int, book_id string")
+        rel = spark.createDataFrame([("a", "y"), ("a", "y"), ("a", "z"), ("b", "w"), ("q", None), (None, "x")], "user_id string, book_id string")
+        got = metrics.ranking(recs, rel)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") - plan.count("Exchange hashpartitioning(user_id") == 0
+        assert [(r.user_id, r.precision, r.recall, round(r.ndcg, 6), r.average_precision) for r in got.orderBy("user_id").collect()] == [("a", 0.5, 0.5, 0.386853, 0.25), ("b", 0.0, 0.0, 0.0, 0.0), ("q", 0.0, 0.0, 0.0, 0.0)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+@pytest.mark.parametrize("name", ["exp_collaborative_winner"])
+def test_baselines_meet_no_order_by_joins(spark, monkeypatch, name):
+    monkeypatch.setattr(rank, "popularity_top", refuse)
+    assert registry.QUERIES[name](spark, SF).count() == 1
