@@ -204,7 +204,14 @@ def test_lists_are_dealt_by_reader_once(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
 
 
-@pytest.mark.parametrize("name", ["exp_collaborative_winner"])
+@pytest.mark.parametrize("name", ["exp_collaborative_winner", "exp_grid_winner"])
 def test_baselines_meet_no_order_by_joins(spark, monkeypatch, name):
     monkeypatch.setattr(rank, "popularity_top", refuse)
     assert registry.QUERIES[name](spark, SF).count() == 1
+
+
+def test_reads_of_neighbours_stay_where_they_are(spark):
+    near = spark.createDataFrame([("a", "b", 0.5), ("a", "c", 0.25), ("b", "c", -0.5), ("c", "a", 1.0)], "user_id string, neighbour string, similarity double")
+    h = spark.createDataFrame([("b", "x", True, 5.0), ("b", "x", True, 1.0), ("c", "x", True, 3.0), ("c", "y", True, 3.0), ("a", "z", False, 3.0)], "user_id string, book_id string, is_read boolean, rating_clean double")
+    want = rows(r.asDict() for r in knn.read_by(near, h.where("is_read").select("user_id", "book_id").distinct()).collect())
+    assert rows(r.asDict() for r in knn.read_by_lists(near, shelf.reads_of(shelf.grouped(h))).collect()) == want
