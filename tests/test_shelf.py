@@ -210,6 +210,12 @@ def test_baselines_meet_no_order_by_joins(spark, monkeypatch, name):
     assert registry.QUERIES[name](spark, SF).count() == 1
 
 
+def test_profiles_of_recommendations_are_made_beside_the_reader(spark, monkeypatch):
+    monkeypatch.setattr(recommend, "profiles", refuse)
+    monkeypatch.setattr(users, "taste_modes", refuse)
+    assert registry.QUERIES["rec_explained"](spark, SF).count() > 0
+
+
 def test_reads_of_neighbours_stay_where_they_are(spark):
     near = spark.createDataFrame([("a", "b", 0.5), ("a", "c", 0.25), ("b", "c", -0.5), ("c", "a", 1.0)], "user_id string, neighbour string, similarity double")
     h = spark.createDataFrame([("b", "x", True, 5.0), ("b", "x", True, 1.0), ("c", "x", True, 3.0), ("c", "y", True, 3.0), ("a", "z", False, 3.0)], "user_id string, book_id string, is_read boolean, rating_clean double")
