@@ -221,3 +221,10 @@ def test_reads_of_neighbours_stay_where_they_are(spark):
     h = spark.createDataFrame([("b", "x", True, 5.0), ("b", "x", True, 1.0), ("c", "x", True, 3.0), ("c", "y", True, 3.0), ("a", "z", False, 3.0)], "user_id string, book_id string, is_read boolean, rating_clean double")
     want = rows(r.asDict() for r in knn.read_by(near, h.where("is_read").select("user_id", "book_id").distinct()).collect())
     assert rows(r.asDict() for r in knn.read_by_lists(near, shelf.reads_of(shelf.grouped(h))).collect()) == want
+
+
+def test_hybrid_neighbours_take_one_python_step(spark, monkeypatch):
+    plans, real = [], knn.read_by_lists
+    monkeypatch.setattr(knn, "read_by_lists", lambda near, reads: plans.append(near._jdf.queryExecution().executedPlan().toString()) or real(near, reads))
+    registry.QUERIES["rnk_hybrid"](spark, SF)
+    assert len(plans) == 1 and plans[0].count("MapInArrow") + plans[0].count("MapInPandas") == 1
