@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfmark import store
-from shelfmark.operators import cooc, features, knn, metrics, rank, recommend, retrieve, shelf, users
+from shelfmark.operators import cooc, features, knn, lists, metrics, rank, recommend, retrieve, shelf, users
 from shelfmark.plans import fixtures, q_curation, registry
 from tests.oracle import rows
 
@@ -228,3 +228,41 @@ def test_hybrid_neighbours_take_one_python_step(spark, monkeypatch):
     monkeypatch.setattr(knn, "read_by_lists", lambda near, reads: plans.append(near._jdf.queryExecution().executedPlan().toString()) or real(near, reads))
     registry.QUERIES["rnk_hybrid"](spark, SF)
     assert len(plans) == 1 and plans[0].count("MapInArrow") + plans[0].count("MapInPandas") == 1
+
+
+def a_shelf(n, seed, places):
+    """A shelf with many equal vectors and some of length zero; `places`: digits that are kept."""
+    rng = np.random.default_rng(seed)
+    vec = np.round(rng.normal(size=(n, 10)), places)
+    vec[n // 4 : n // 3], vec[n // 2 : n // 2 + 40], vec[3] = vec[: n // 3 - n // 4], vec[n // 2], 0
+    code = rng.integers(0, 10, n)
+    centres = np.array([vec[code == i].mean(0) for i in range(10)])
+    pages = (rng.integers(1, 12, n) * 20).astype(float)
+    pages[::50] = np.nan
+    more = {"genres": rng.random((n, 5)) < 0.4, "segment": rng.choice(["tail", "mid", "head", "unknown"], n), "macro": code // 2, "listed": rng.random(n) > 0.01, "num_pages": pages}
+    return rng, shelf.Shelf(pa.array([f"{i:05d}" for i in range(n)]), vec, np.arange(10), code, centres / np.linalg.norm(centres, axis=1)[:, None], more)
+
+
+@pytest.mark.parametrize("places", [1, 9])
+def test_lists_by_blocks_are_those_of_each_reader(places):
+    rng, s = a_shelf(2500, 7, places)
+    profile, readers = shelf.profiled(0.5), []
+    for i in range(60):
+        own = np.sort(rng.integers(0, 2500, 1 + i % 13))
+        weight, vec = profile(s, own)
+        readers.append(shelf.Reader(f"u{i}", np.append(own, rng.integers(0, 2500, 14)), weight, vec / shelf._lengths(vec)[:, None], {}))
+    few, tiny = shelf.Reader("few", np.arange(2480), np.ones(1), s.vec[:1] / s.length[0], {}), rank.Config(k=3, explore=1)
+    readers += [few, shelf.Reader("all", np.arange(2500), np.ones(1), few.unit, {}), shelf.Reader("zero", few.read, np.ones(1), few.unit * 0, {})]
+    settings = {"a": (rank.Config(), 5), "b": (rank.Config(trade=0.5), 5), "c": (rank.Config(explore=4), 15), "d": (rank.Config(explore=0), 8), "e": (tiny, 1), "f": (rank.Config(trade=1.0), 5), "g": (rank.Config(trade=0.0), 5)}
+    for of in (lambda m: m.recommended(rank.Config()), lambda m: m.recommended(tiny), lambda m: m.sweep(settings)):
+        got = {r.user: told for block in shelf._blocks(s, iter(readers)) for r, told in of(lists)(s, block)}
+        for r, x in shelf._relevance(s, readers):
+            want = of(shelf)(s, r, x)
+            assert [list(c) for c in got[r.user]] == [list(c) for c in want]
+
+
+@pytest.mark.parametrize("name", ["rec_routed", "rec_explained"])
+def test_recommendations_are_made_by_blocks(spark, monkeypatch, name):
+    monkeypatch.setattr(shelf, "diverse", refuse)
+    monkeypatch.setattr(shelf, "recommended", refuse)
+    assert registry.QUERIES[name](spark, SF).count() > 0
