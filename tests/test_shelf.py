@@ -261,8 +261,9 @@ def test_lists_by_blocks_are_those_of_each_reader(places):
             assert [list(c) for c in got[r.user]] == [list(c) for c in want]
 
 
-@pytest.mark.parametrize("name", ["rec_routed", "rec_explained"])
-def test_recommendations_are_made_by_blocks(spark, monkeypatch, name):
+@pytest.mark.parametrize("name", ["rec_routed", "rec_explained", "exp_ablation"])
+def test_lists_are_made_by_blocks(spark, monkeypatch, name):
     monkeypatch.setattr(shelf, "diverse", refuse)
     monkeypatch.setattr(shelf, "recommended", refuse)
+    monkeypatch.setattr(shelf, "sweep", refuse)
     assert registry.QUERIES[name](spark, SF).count() > 0
