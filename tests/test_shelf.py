@@ -261,7 +261,7 @@ def test_lists_by_blocks_are_those_of_each_reader(places):
             assert [list(c) for c in got[r.user]] == [list(c) for c in want]
 
 
-@pytest.mark.parametrize("name", ["rec_routed", "rec_explained", "exp_ablation"])
+@pytest.mark.parametrize("name", ["rec_routed", "rec_explained", "exp_ablation", "exp_backtest"])
 def test_lists_are_made_by_blocks(spark, monkeypatch, name):
     monkeypatch.setattr(shelf, "diverse", refuse)
     monkeypatch.setattr(shelf, "recommended", refuse)
